@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import decontaminate, license_scan, packing, quality, url_filter
+from gridfold.llm import decontaminate, license_scan, line_dedup, packing, quality, url_filter
 from gridfold.llm.common import table
 
 #: The rules of the URL query, (action, host and path).
@@ -27,6 +27,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,7 +72,7 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (row)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_classifier, op3_license_scan, op7_packing, op8_url_filter, op10_decontamination]
+    own = [op1_quality_classifier, op2_line_dedup, op3_license_scan, op7_packing, op8_url_filter, op10_decontamination]
     return {f.__name__: f for f in own}
 
 
