@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -19,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which go when the JVM collects
+    what refers to them; a driver with much memory may else keep them for hours."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Parquet tables in the shared checkpoint folder that cut lineage.
 
@@ -33,6 +41,7 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

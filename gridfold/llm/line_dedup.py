@@ -5,9 +5,9 @@ line, by (doc_id, line number), has a Jaccard similarity of `num / den` or more
 
 Words are ordered by rarity: by counts of all words in a table of fixed size, which is
 broadcast. Equal sets meet by an aggregation on a 128-bit key of the set. Different sets meet
-by an equi-join on the words of their prefixes, under the length, positional and parity-bitmap
-filters; survivors are verified on their full sets. Everything is keyed by a word or a set, so
-no group of equal lines is ever expanded.
+by an equi-join on the words of their prefixes, under the length, prefix, positional and
+parity-bitmap filters; survivors are verified on their full sets. Everything is keyed by a word
+or a set, so no group of equal lines is ever expanded.
 """
 
 from __future__ import annotations
@@ -27,13 +27,14 @@ from gridfold.llm.textvec import U
 #: Jaccard threshold 4/5.
 NUM, DEN = 4, 5
 #: Buckets of the word counts (8 bytes each, broadcast), and bits of the marks of keys.
-BUCKETS = 1 << 20
+BUCKET_BITS = 21
+BUCKETS = 1 << BUCKET_BITS
 MARKS = 1 << 24
 _BLOCK = 1 << 14
 
 
 def merged_blocks(parts: DataFrame, length: int, how: str) -> np.ndarray:
-    """Arrays of fixed size, one a task in blocks (block, data), merged by block: `sum` or `or`."""
+    """Arrays of fixed size, one a task in blocks (block, data), merged by block: `sum`, `or`, or `twice`."""
     dtype = np.int64 if how == "sum" else np.uint8
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +46,9 @@ def merged_blocks(parts: DataFrame, length: int, how: str) -> np.ndarray:
                     got[i] = x.copy()
                 elif how == "sum":
                     got[i] += x
-                else:  # bits seen twice, and bits seen
+                elif how == "or":
+                    got[i] |= x
+                else:  # what was seen, and what was seen twice
                     half = len(x) // 2
                     got[i][half:] |= x[half:] | (got[i][:half] & x[:half])
                     got[i][:half] |= x[:half]
@@ -73,9 +76,8 @@ def word_ranks(texts: DataFrame) -> np.ndarray:
         n = np.zeros(BUCKETS, np.int64)
         for b in batches:
             data, off = V.bytes_of(b.column(0))
-            for i, j in V.chunks(off):
-                _, _, h = V.words(data[off[i] : off[j]], off[i:j] - off[i])
-                n += np.bincount((h & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            found = [V.words(data[off[i] : off[j]], off[i:j] - off[i])[2] & U(BUCKETS - 1) for i, j in V.chunks(off)]
+            np.add.at(n, np.concatenate(found or [np.zeros(0, U)]).astype(np.int64), 1)
         yield blocks_of(n, _BLOCK)
 
     n = merged_blocks(texts.mapInArrow(count, "block int, data binary"), BUCKETS, "sum")
@@ -96,8 +98,8 @@ class Lines:
         starts, _, h = V.words(data, offsets[:-1])
         line = line_at[starts]
         bits = U(43)
-        low = h & U((1 << 20) - 1)
-        value = ranks[low.astype(np.int64)].astype(U) << U(23) | (h >> U(20)) & U((1 << 23) - 1)
+        rest = 43 - BUCKET_BITS
+        value = ranks[(h & U(BUCKETS - 1)).astype(np.int64)].astype(U) << U(rest) | (h >> U(BUCKET_BITS)) & U((1 << rest) - 1)
         # one sort puts the words of each line in the global order, rarest first
         order = np.argsort(line.astype(U) << bits | value)
         line, h, value = line[order], h[order], value[order]
@@ -117,10 +119,9 @@ class Lines:
             with np.errstate(over="ignore"):
                 self.k1 = np.add.reduceat(V.mix(self.hash, 0x51ED270B), self.first)
                 self.k2 = np.add.reduceat(V.mix(self.hash, 0x3C6EF372), self.first)
-            bit = (self.hash >> U(57)).astype(U)
-            one = U(1) << (bit & U(63))
-            self.b1 = np.bitwise_xor.reduceat(np.where(bit < 64, one, U(0)), self.first)
-            self.b2 = np.bitwise_xor.reduceat(np.where(bit < 64, U(0), one), self.first)
+            one, upper = U(1) << (self.hash >> U(58)), self.hash & U(1) == 1
+            self.b1 = np.bitwise_xor.reduceat(np.where(upper, U(0), one), self.first)
+            self.b2 = np.bitwise_xor.reduceat(np.where(upper, one, U(0)), self.first)
         else:
             self.k1 = self.k2 = self.b1 = self.b2 = np.zeros(0, U)
 
@@ -139,7 +140,7 @@ def _int64(x: np.ndarray) -> pa.Array:
 
 
 def line_table(docs: DataFrame, ranks, num: int, den: int) -> DataFrame:
-    """A row for each line with words: doc_id, line, key of its set, size, bitmaps, prefix."""
+    """A row for each line with words: doc_id, line, key of its set, size, parity bitmap (128 bits), prefix."""
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("line int, k1 long, k2 long, n int, b1 long, b2 long, prefix array<int>")])
     names = schema.names
 
@@ -153,23 +154,19 @@ def line_table(docs: DataFrame, ranks, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", whole_text(docs).alias("_text")).mapInArrow(run, schema)
 
 
-def marks_of(keys: DataFrame) -> np.ndarray:
-    """Two bitmaps over hashes of a column of longs (or arrays of ints): seen, and seen twice."""
-    size = MARKS // 8
+def marks_of(keys: DataFrame, twice: bool = False) -> np.ndarray:
+    """A bitmap of fixed size over hashes of a column of longs: seen, or seen at least twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, twice = np.zeros(MARKS, bool), np.zeros(MARKS, bool)
+        n = np.zeros(MARKS, np.uint8)
         for b in batches:
-            c = b.column(0)
-            c = c.flatten() if pa.types.is_list(c.type) else c
-            at, n = np.unique(mark(c.to_numpy(zero_copy_only=False)), return_counts=True)
-            twice[at] |= seen[at] | (n > 1)
-            seen[at] = True
-        x = np.concatenate([np.packbits(seen).reshape(-1, _BLOCK), np.packbits(twice).reshape(-1, _BLOCK)], axis=1).ravel()
-        yield blocks_of(x, 2 * _BLOCK)
+            at, times = np.unique(mark(b.column(0).to_numpy(zero_copy_only=False)), return_counts=True)
+            n[at] = np.minimum(n[at] + np.minimum(times, 2), 2)
+        seen, again = (np.packbits(n >= i).reshape(-1, _BLOCK) for i in (1, 2))
+        yield blocks_of((np.concatenate([seen, again], axis=1) if twice else seen).ravel(), _BLOCK * (1 + twice))
 
-    x = merged_blocks(keys.mapInArrow(run, "block int, data binary"), 2 * size, "or").reshape(-1, 2, _BLOCK)
-    return np.stack([x[:, 0].ravel(), x[:, 1].ravel()])
+    x = merged_blocks(keys.mapInArrow(run, "block int, data binary"), MARKS // 8 * (1 + twice), "twice" if twice else "or")
+    return x.reshape(-1, 2, _BLOCK)[:, 1].ravel() if twice else x
 
 
 def mark(keys: np.ndarray) -> np.ndarray:
@@ -181,37 +178,152 @@ def marked(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
+#: Sizes and places are stored up to so much; the filters pass whatever is as large.
+LARGE = (1 << 16) - 1
+#: One word of the prefix of one set.
+ENTRY = np.dtype([("w", np.uint32), ("n", np.uint16), ("pos", np.uint16), ("k1", np.int64), ("b1", U), ("b2", U)])
+
+
+def entries(b: pa.RecordBatch) -> np.ndarray:
+    """The entries of a batch of (k1, n, b1, b2, prefix)."""
+    lists = b.column(4)
+    w = lists.flatten().to_numpy(zero_copy_only=False)
+    p = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(p)), p)
+    e = np.empty(len(w), ENTRY)
+    e["w"], e["pos"] = w.view(np.uint32), np.minimum(np.arange(len(w)) - np.repeat(np.cumsum(p) - p, p), LARGE)
+    for name, i in (("k1", 0), ("n", 1), ("b1", 2), ("b2", 3)):
+        x = b.column(i).to_numpy(zero_copy_only=False)
+        e[name] = x.view(U)[row] if name[0] == "b" else np.minimum(x, LARGE)[row] if name == "n" else x[row]
+    return e
+
+
+def bins_of(load: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of neighbouring fine buckets with at most `most` entries together; and into how
+    many parts each bin is split, over 1 where one bucket holds more."""
+    bins, splits, held = np.zeros(len(load), np.int32), [1], 0
+    for i, n in enumerate(load.tolist()):
+        if held and held + n > most:
+            splits.append(1)
+            held = 0
+        held += n
+        bins[i] = len(splits) - 1
+        splits[-1] = max(splits[-1], -(-n // most))
+    return bins, np.array(splits, np.int32)
+
+
+def joined(e: np.ndarray, apart: np.ndarray | None, num: int, den: int, block: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Pairs of keys of entries of one word that pass the length, prefix, positional and bitmap
+    filters. `apart`: which of two parts an entry is of, if only pairs across count."""
+    order = np.lexsort((e["k1"], e["n"], e["w"]))
+    e = e[order]
+    apart = None if apart is None else apart[order]
+    n, pos = e["n"].astype(np.int64), e["pos"].astype(np.int64)
+    key = e["w"].astype(np.int64) << 31 | n
+    last = np.searchsorted(key, e["w"].astype(np.int64) << 31 | np.minimum(n * den // num, (1 << 31) - 1), side="right")
+    at = np.arange(len(e))
+    own = n - (-(-2 * num * n // (num + den))) + 1  # the prefix of a set with one as long or longer
+    many = np.where((pos < own) | (n == LARGE), last - at - 1, 0)
+    upto = np.cumsum(many)
+    i = 0
+    while i < len(e):
+        done = upto[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(upto, done + block, side="right")))
+        m = many[i:j]
+        x = np.repeat(at[i:j], m)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m) + x + 1
+        i = j
+        need = -(-num * (n[x] + n[y]) // (num + den))
+        ok = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need
+        ok |= n[y] == LARGE
+        x, y, need = x[ok], y[ok], need[ok]
+        differ = np.bitwise_count(e["b1"][x] ^ e["b1"][y]).astype(np.int64) + np.bitwise_count(e["b2"][x] ^ e["b2"][y])
+        ok = (differ <= n[x] + n[y] - 2 * need) | (n[y] == LARGE)
+        ok &= e["k1"][x] != e["k1"][y]
+        if apart is not None:
+            ok &= apart[x] != apart[y]
+        if ok.any():
+            a, b = e["k1"][x[ok]], e["k1"][y[ok]]
+            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+
+
+def candidates(sets: DataFrame, num: int, den: int, most: int = 400_000, fine: int = 1 << 16) -> DataFrame:
+    """Pairs (a, b) of keys of sets that may be similar; a pair may come more than once.
+
+    Entries meet by their word in bins of about equal load, sent as packed blocks; a word with
+    more than `most` entries is split into parts, and each two parts meet in a task of their own.
+    """
+    spark = sets.sparkSession
+    sets = sets.where(F.size("prefix") > 0).select("k1", "n", "b1", "b2", "prefix")
+
+    def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(fine, np.int64)
+        for b in batches:
+            n += np.bincount(entries(b)["w"] % fine, minlength=fine)
+        yield blocks_of(n, _BLOCK)
+
+    plan = spark.sparkContext.broadcast(bins_of(merged_blocks(sets.mapInArrow(loads, "block int, data binary"), fine, "sum"), most))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, splits = plan.value
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            e = np.concatenate(held)
+            at = bins[e["w"] % fine]
+            order = np.argsort(at, kind="stable")
+            e, at = e[order], at[order]
+            rows = []
+            for lo, hi in zip(first := np.flatnonzero(np.diff(at, prepend=-1)), np.append(first[1:], len(at))):
+                k, own = int(at[lo]), e[lo:hi]
+                if (s := int(splits[k])) == 1:
+                    rows.append((k, 0, 0, 0, own.tobytes()))
+                    continue
+                part = (V.mix(own["k1"].view(U)) % U(s)).astype(np.int64)
+                for i in range(s):
+                    if len(mine := own[part == i]):
+                        rows += [(k, min(i, j), max(i, j), i, mine.tobytes()) for j in range(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (*(pa.int32(),) * 4, pa.binary()))], ["bin", "i", "j", "part", "data"])
+
+        for b in batches:
+            held.append(entries(b))
+            size += len(held[-1])
+            if size > 2_000_000:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, marks = None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            e = np.concatenate(parts)
+            apart = np.concatenate(marks) if key[1] != key[2] else None
+            for ab in joined(e, apart, num, den):
+                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+
+        for b in batches:
+            for k, i, j, part, data in zip(*(b.column(c).to_pylist() for c in range(4)), b.column(4)):
+                if key != (k, i, j):
+                    if key:
+                        yield from out()
+                    key, parts, marks = (k, i, j), [], []
+                parts.append(np.frombuffer(data.as_buffer(), ENTRY))
+                marks.append(np.full(len(parts[-1]), part == i))
+        if key:
+            yield from out()
+
+    dealt = sets.mapInArrow(deal, "bin int, i int, j int, part int, data binary")
+    n = max(1, int(plan.value[1].astype(np.int64) @ (plan.value[1] + 1) // 2))
+    return dealt.repartition(min(n, 20_000), "bin", "i", "j").sortWithinPartitions("bin", "i", "j").mapInArrow(meet, "a long, b long")
+
+
 def similar_sets(docs: DataFrame, sets: DataFrame, ranks, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Pairs (k1, k2, o1, o2) of different sets whose Jaccard similarity is num / den or more, both ways round."""
     spark = docs.sparkSession
-    twice = spark.sparkContext.broadcast(marks_of(sets.select("prefix"))[1])
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(4)
-            v = lists.flatten().to_numpy(zero_copy_only=False)
-            p = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(p)), p)
-            pos = np.arange(len(v)) - np.repeat(np.cumsum(p) - p, p)
-            ok = marked(v, twice.value)
-            # of a word that stands twice in one prefix by its 32-bit value, the first place counts
-            at = pa.array(row[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(v[ok], pa.int32()), pa.array(pos[ok], pa.int32()), *(b.column(i).take(at) for i in range(4))], ["w", "pos", "k1", "n", "b1", "b2"])
-
-    rows = sets.where(F.size("prefix") > 0).select("k1", "n", "b1", "b2", "prefix").mapInArrow(explode, "w int, pos int, k1 long, n int, b1 long, b2 long")
-    a, b = rows, rows.select(F.col("w"), *(F.col(c).alias(f"o_{c}") for c in ("pos", "k1", "n", "b1", "b2")))
-    need = F.ceil((F.col("n") + F.col("o_n")) * num / F.lit(num + den)).cast("int")
-    rest = F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos"))
-    pairs = (
-        a.join(b, "w")
-        .where((F.col("k1") != F.col("o_k1")) & ((F.col("n") < F.col("o_n")) | (F.col("n") == F.col("o_n")) & (F.col("k1") < F.col("o_k1"))))
-        .where((F.col("n") * den >= F.col("o_n") * num) & (F.least("pos", "o_pos") + rest >= need))
-        .where(F.bit_count(F.col("b1").bitwiseXOR(F.col("o_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("o_b2"))) <= F.col("n") + F.col("o_n") - 2 * need)
-        .select(F.col("k1").alias("a"), F.col("o_k1").alias("b"))
-        .distinct()
-    )
-    pairs = scratch.put(pairs, "pairs")
-    wanted = spark.sparkContext.broadcast(marks_of(pairs.select(F.explode(F.array("a", "b"))))[0])
+    pairs = scratch.put(candidates(sets, num, den).distinct(), "pairs")
+    wanted = spark.sparkContext.broadcast(marks_of(pairs.select(F.explode(F.array("a", "b")))))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not wanted.value.any():
@@ -226,14 +338,13 @@ def similar_sets(docs: DataFrame, sets: DataFrame, ranks, num: int, den: int, sc
                 h = [np.sort(x.hash[x.first[r] : x.first[r] + x.size[r]]).tobytes() for r in at]
                 yield pa.RecordBatch.from_arrays([_int64(x.k1[at]), _int64(x.k2[at]), pa.array(h, pa.binary())], ["k1", "k2", "words"])
 
-    full = docs.select(whole_text(docs)).mapInArrow(tokens, "k1 long, k2 long, words binary").groupBy("k1", "k2").agg(F.first("words").alias("words"))
+    full = docs.select(whole_text(docs)).mapInArrow(tokens, "k1 long, k2 long, words binary").dropDuplicates(["k1", "k2"])
     full = scratch.put(full, "words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = b.column(2), b.column(5)
             ok = []
-            for p, q in zip(x, y):
+            for p, q in zip(b.column(2), b.column(5)):
                 p, q = np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(common * den >= num * (len(p) + len(q) - common))
@@ -258,6 +369,8 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN, scratch: Scr
     sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line", "n", "b1", "b2", "prefix")).alias("s"), F.count("*").alias("times"))
     sets = scratch.put(sets.select("k1", "k2", "times", F.struct("s.doc_id", "s.line").alias("place"), "s.n", "s.b1", "s.b2", "s.prefix"), "sets")
     links = scratch.put(similar_sets(docs, sets, ranks, num, den, scratch), "links")
+    sets = scratch.put(sets.select("k1", "k2", "times", "place"), "places")
+    scratch.drop("sets", "pairs", "words")
     known = sets.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), "place")
     near = links.join(known, ["o1", "o2"]).groupBy("k1", "k2").agg(F.min("place").alias("near"))
     first = (

@@ -14,8 +14,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Bytes of texts that are worked on at a time; a longer single text is a chunk of its own.
-CHUNK = 1 << 21
+#: Bytes of texts that are worked on at a time, few enough for a processor's cache; a longer
+#: single text is a chunk of its own.
+CHUNK = 1 << 18
 _powers: list[np.ndarray] = []
 
 
@@ -80,3 +81,28 @@ def words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         np.cumsum((LOWER[data].astype(U) + U(1)) * down[:n], out=total[1:])
         h = (total[ends] - total[starts]) * up[ends - 1] + (ends - starts).astype(U) * U(0x2545F4914F6CDD1D)
     return starts, ends, mix(h)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of k words.
+
+    A text of fewer words has its whole sequence as the only one; one without words has none.
+    """
+    starts, _, h = words(data, offsets[:-1])
+    at = np.searchsorted(starts, offsets)
+    run = np.zeros(max(len(h) - k + 1, 0), U)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            run = run * _BASE + h[j : j + len(run)]
+    run = mix(run, k)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        if b - a >= k:
+            yield np.unique(run[a : b - k + 1])
+        elif b > a:
+            x = U(b - a)
+            with np.errstate(over="ignore"):
+                for y in h[a:b]:
+                    x = x * _BASE + y
+            yield mix(np.array([x], U), 0x7F4A7C15)
+        else:
+            yield np.zeros(0, U)
