@@ -154,27 +154,27 @@ def line_table(docs: DataFrame, ranks, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", whole_text(docs).alias("_text")).mapInArrow(run, schema)
 
 
-def marks_of(keys: DataFrame, twice: bool = False) -> np.ndarray:
+def marks_of(keys: DataFrame, twice: bool = False, marks: int = MARKS) -> np.ndarray:
     """A bitmap of fixed size over hashes of a column of longs: seen, or seen at least twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(MARKS, np.uint8)
+        n = np.zeros(marks, np.uint8)
         for b in batches:
-            at, times = np.unique(mark(b.column(0).to_numpy(zero_copy_only=False)), return_counts=True)
+            at, times = np.unique(mark(b.column(0).to_numpy(zero_copy_only=False), marks), return_counts=True)
             n[at] = np.minimum(n[at] + np.minimum(times, 2), 2)
         seen, again = (np.packbits(n >= i).reshape(-1, _BLOCK) for i in (1, 2))
         yield blocks_of((np.concatenate([seen, again], axis=1) if twice else seen).ravel(), _BLOCK * (1 + twice))
 
-    x = merged_blocks(keys.mapInArrow(run, "block int, data binary"), MARKS // 8 * (1 + twice), "twice" if twice else "or")
+    x = merged_blocks(keys.mapInArrow(run, "block int, data binary"), marks // 8 * (1 + twice), "twice" if twice else "or")
     return x.reshape(-1, 2, _BLOCK)[:, 1].ravel() if twice else x
 
 
-def mark(keys: np.ndarray) -> np.ndarray:
-    return (V.mix(keys.astype(np.int64).view(U)) & U(MARKS - 1)).astype(np.int64)
+def mark(keys: np.ndarray, marks: int) -> np.ndarray:
+    return (V.mix(keys.astype(np.int64).view(U)) & U(marks - 1)).astype(np.int64)
 
 
 def marked(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    at = mark(keys)
+    at = mark(keys, 8 * len(bitmap))
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 

@@ -8,7 +8,7 @@ sets of 64-bit shingle hashes, and confirmed links make components.
 
 Groups are never expanded into all pairs. In a bucket every node meets one leader first;
 components come from those links; only nodes of one bucket that are then still in different
-components meet each other.
+components meet each other, in blocks, and only links that join components leave a block.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from gridfold.llm.textvec import U
 BANDS, ROWS = 24, 5
 BATCH = 20
 #: Chance with which a pair at the threshold may be given up by its signature.
-MISS = 1e-7
+MISS = 1e-6
+#: Nodes of a bucket that meet in one task.
+PART = 2000
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +111,7 @@ def buckets_of(nodes: DataFrame) -> DataFrame:
                 keys, node = keys[ok], node[ok]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node)], ["bucket", "node"])
 
-    shared = spark.sparkContext.broadcast(marks_of(nodes.select("node", "bands").mapInArrow(explode, "bucket long, node long").select("bucket"), twice=True))
+    shared = spark.sparkContext.broadcast(marks_of(nodes.select("node", "bands").mapInArrow(explode, "bucket long, node long").select("bucket"), twice=True, marks=1 << 26))
     return nodes.select("node", "bands").mapInArrow(lambda x: explode(x, shared), "bucket long, node long")
 
 
@@ -164,10 +166,10 @@ class Matcher:
         two = self.nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"))
         return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(prune, "a long, b long, matches long")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """(u, v) of pairs (a, b) whose full sets are similar enough."""
-        spark, k, percent = self.docs.sparkSession, self.k, self.percent
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def full_sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, s): the sorted shingle hashes of the nodes `wanted`, from a pass over the
+        documents that skips those whose ids aren't marked."""
+        spark, k = self.docs.sparkSession, self.k
         rows = self.scratch.put(wanted.join(self.nodes.select("node", "doc_id"), "node"), f"wanted-{self.turn}")
         in_docs = spark.sparkContext.broadcast(marks_of(rows.select(F.xxhash64("doc_id"))))
         in_nodes = spark.sparkContext.broadcast(marks_of(rows.select("node")))
@@ -185,9 +187,15 @@ class Matcher:
                             found[int(key)] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "s"])
 
-        # of equal sets one stays; pairs find theirs by the node
-        full = self.docs.select(F.xxhash64("doc_id"), whole_text(self.docs)).mapInArrow(sets, "node long, s binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        full = self.docs.select(F.xxhash64("doc_id"), whole_text(self.docs)).mapInArrow(sets, "node long, s binary").join(rows.select("node"), "node", "left_semi").dropDuplicates(["node"])
         full = self.scratch.put(full, f"sets-{self.turn}")
+        self.scratch.drop(f"wanted-{self.turn}")
+        return full
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """(u, v) of pairs (a, b) whose full sets are similar enough."""
+        percent = self.percent
+        full = self.full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
@@ -203,7 +211,7 @@ class Matcher:
         two = full.select(F.col("node").alias("b"), F.col("s").alias("y"))
         found = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long")
         found = self.scratch.put(found, f"found-{self.turn}")
-        self.scratch.drop(f"sets-{self.turn}", f"wanted-{self.turn}")
+        self.scratch.drop(f"sets-{self.turn}")
         self.turn += 1
         return found
 
@@ -226,6 +234,80 @@ class Matcher:
             self.add(self.confirmed(rest))
 
 
+    def across(self, held: DataFrame) -> DataFrame:
+        """Links (u, v) that join components among (bucket, node, root), the nodes of buckets
+        with several components.
+
+        The nodes of a bucket meet in one task, or in parts of about PART nodes of which each
+        two meet in one. There pairs are pruned by their signatures and confirmed on their full
+        sets, likeliest first, unless links found before have joined them; a pair is looked at
+        in the first bucket that it shares only.
+        """
+        steps, percent = least_matches(self.percent / 100, self.miss, BANDS * ROWS, BATCH), self.percent
+        full = self.full_sets(held.select("node").distinct())
+        parts = held.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        dealt = held.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root")
+        dealt = dealt.join(self.nodes.select("node", "bands", "bits"), "node").join(full, "node")
+        dealt = dealt.select("bucket", "i", "j", "part", "node", "root", "bands", "bits", "s")
+
+        def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+            bucket, i, j = rows[0][:3]
+            part, node, root = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5))
+            bands = np.frombuffer(b"".join(r[6] for r in rows), np.int64).reshape(len(rows), BANDS)
+            bits = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), -1)
+            found = []
+            for x in range(len(rows) - 1):
+                at = x + 1 + np.flatnonzero((root[x + 1 :] != root[x]) & ((part[x + 1 :] != part[x]) | (i == j)))
+                m, done = np.zeros(len(at), np.int64), 0
+                for n, least in steps:
+                    m = m + (bits[at, done:n] == bits[x, done:n]).sum(1)
+                    ok = m >= least
+                    at, m, done = at[ok], m[ok], n
+                same = bands[at] == bands[x]
+                ok = bands[x][same.argmax(1)] == bucket
+                found.append(np.stack([m[ok], np.full(ok.sum(), x), at[ok]], axis=1))
+            above: dict[int, int] = {}
+
+            def top(r: int) -> int:
+                while r in above:
+                    r = above[r]
+                return r
+
+            found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            for _, x, y in found[np.argsort(-found[:, 0], kind="stable")].tolist():
+                p, q = top(int(root[x])), top(int(root[y]))
+                if p != q:
+                    u, v = np.frombuffer(rows[x][8], U), np.frombuffer(rows[y][8], U)
+                    common = len(np.intersect1d(u, v, assume_unique=True))
+                    if 100 * common >= percent * (len(u) + len(v) - common):
+                        above[max(p, q)] = min(p, q)
+                        yield int(node[x]), int(node[y])
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group: list[tuple] = []
+
+            def out() -> pa.RecordBatch:
+                uv = np.array(list(links(group)), np.int64).reshape(-1, 2)
+                return pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], ["u", "v"])
+
+            for b in batches:
+                for row in zip(*(c.to_pylist() for c in b.columns)):
+                    if group and group[0][:3] != row[:3]:
+                        yield out()
+                        group = []
+                    group.append(row)
+            if group:
+                yield out()
+
+        met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(meet, "u long, v long")
+        met = self.scratch.put(met, f"across-{self.turn}")
+        self.scratch.drop(f"sets-{self.turn}")
+        self.turn += 1
+        return met
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -251,10 +333,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     held = buckets.join(matcher.roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     open_ = scratch.put(held.join(mixed, "bucket"), "open")
-    x = open_.alias("x").join(open_.alias("y"), F.expr("x.bucket = y.bucket and x.root < y.root"))
-    crossed = scratch.put(x.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "crossed")
-    if crossed.head(1):
-        matcher.match(crossed)
+    if open_.head(1):
+        matcher.add(matcher.across(open_))
     smallest = nodes.select("node", "doc_id").join(matcher.roots, "node").groupBy("root").agg(F.min("doc_id").alias("low"))
     of = matcher.roots.join(smallest, "root").select("node", "low")
     known = nodes.select("node", "doc_id").join(of, "node", "left").select("node", F.coalesce("low", "doc_id").alias("component_id"))
