@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import decontaminate, license_scan, line_dedup, minhash, packing, quality, url_filter
-from gridfold.llm.common import table
+from gridfold.llm import decontaminate, fingerprints, license_scan, line_dedup, minhash, packing, quality, url_filter
+from gridfold.llm.common import Scratch, table
 
 #: The rules of the URL query, (action, host and path).
 URL_RULES = (
@@ -40,6 +40,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -76,7 +80,7 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (row)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_classifier, op2_line_dedup, op3_license_scan, op4_minhash_dedup, op7_packing, op8_url_filter, op10_decontamination]
+    own = [op1_quality_classifier, op2_line_dedup, op3_license_scan, op4_minhash_dedup, op5_fingerprints, op7_packing, op8_url_filter, op10_decontamination]
     return {f.__name__: f for f in own}
 
 
