@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import decontaminate, packing, quality
+from gridfold.llm import decontaminate, line_dedup, minhash, packing, quality
 from gridfold.llm.common import Scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,6 +19,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score_quality(docs, model, tuple(docs.columns)).where(F.col("predicted") == 1).select(docs.columns)
 
 
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated lines; those of which no line is left go."""
+    out = line_dedup.dedup_lines(docs)
+    left = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")) & F.col("text").rlike(r"[^ \t\n\x0B\f\r]")
+    return out.where(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(docs.columns)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), tuple(docs.columns))
@@ -32,6 +45,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("near dedup", near_dedup_stage),
     ("decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]
@@ -44,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over `documents`; each result but the last is written and reread."""
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.put(stage(spark, docs, sf_dir), name)
+        docs = scratch.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
