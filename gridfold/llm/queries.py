@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import decontaminate, fingerprints, license_scan, line_dedup, minhash, packing, quality, url_filter
+from gridfold.llm import decontaminate, fingerprints, license_scan, line_dedup, minhash, packing, quality, repeats, url_filter
 from gridfold.llm.common import Scratch, table
 
 #: The rules of the URL query, (action, host and path).
@@ -54,6 +54,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -80,7 +84,7 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (row)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_classifier, op2_line_dedup, op3_license_scan, op4_minhash_dedup, op5_fingerprints, op7_packing, op8_url_filter, op10_decontamination]
+    own = [op1_quality_classifier, op2_line_dedup, op3_license_scan, op4_minhash_dedup, op5_fingerprints, op7_packing, op8_url_filter, op9_repeats, op10_decontamination]
     return {f.__name__: f for f in own}
 
 
