@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import decontaminate, fingerprints, license_scan, line_dedup, minhash, packing, quality, repeats, url_filter
+from gridfold.llm import decontaminate, fingerprints, license_scan, line_dedup, minhash, packing, pii, quality, repeats, url_filter
 from gridfold.llm.common import Scratch, table
 
 #: The rules of the URL query, (action, host and path).
@@ -44,6 +44,14 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
 
 
+#: In production the key comes from a secret store.
+PII_KEY = b"a key for tests only"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -84,7 +92,7 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (row)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_classifier, op2_line_dedup, op3_license_scan, op4_minhash_dedup, op5_fingerprints, op7_packing, op8_url_filter, op9_repeats, op10_decontamination]
+    own = [op1_quality_classifier, op2_line_dedup, op3_license_scan, op4_minhash_dedup, op5_fingerprints, op6_pii, op7_packing, op8_url_filter, op9_repeats, op10_decontamination]
     return {f.__name__: f for f in own}
 
 
