@@ -8,8 +8,13 @@ from pyspark.sql.window import Window
 
 from gridfold.params import BLUR_TAPS
 
-ROW = Window.partitionBy("frame", "y").orderBy("x")
-COLUMN = Window.partitionBy("frame", "x").orderBy("y")
+
+def row():
+    return Window.partitionBy("frame", "y").orderBy("x")
+
+
+def column():
+    return Window.partitionBy("frame", "x").orderBy("y")
 
 
 def _replicated_sum(c: Column, at: Column, w, r: int) -> Column:
@@ -23,17 +28,17 @@ def median(df: DataFrame, col: str, size: int = 5) -> DataFrame:
     """The median of a mask of 0 and 255: the majority of size x size cells."""
     r = size // 2
     df = df.withColumn("_s", F.when(F.col(col) == 255, 1).otherwise(0))
-    df = df.withColumn("_s", _replicated_sum(F.col("_s"), F.col("x"), ROW, r))
-    df = df.withColumn("_s", _replicated_sum(F.col("_s"), F.col("y"), COLUMN, r))
+    df = df.withColumn("_s", _replicated_sum(F.col("_s"), F.col("x"), row(), r))
+    df = df.withColumn("_s", _replicated_sum(F.col("_s"), F.col("y"), column(), r))
     return df.withColumn(col, F.when(F.col("_s") >= size * size // 2 + 1, 255).otherwise(0)).drop("_s")
 
 
 def dilate(df: DataFrame, col: str, r: int) -> DataFrame:
-    return df.withColumn(col, F.max(col).over(ROW.rowsBetween(-r, r))).withColumn(col, F.max(col).over(COLUMN.rowsBetween(-r, r)))
+    return df.withColumn(col, F.max(col).over(row().rowsBetween(-r, r))).withColumn(col, F.max(col).over(column().rowsBetween(-r, r)))
 
 
 def erode(df: DataFrame, col: str, r: int) -> DataFrame:
-    return df.withColumn(col, F.min(col).over(ROW.rowsBetween(-r, r))).withColumn(col, F.min(col).over(COLUMN.rowsBetween(-r, r)))
+    return df.withColumn(col, F.min(col).over(row().rowsBetween(-r, r))).withColumn(col, F.min(col).over(column().rowsBetween(-r, r)))
 
 
 def close(df: DataFrame, col: str, size: int) -> DataFrame:
@@ -47,9 +52,9 @@ def sobel(df: DataFrame, col: str, out: str = "edge") -> DataFrame:
         a, b = F.lag(c, 1).over(w), F.lead(c, 1).over(w)
         return F.coalesce(a, b, F.col(c)), F.coalesce(b, a, F.col(c))
 
-    (l, r) = sides(col, ROW)
+    (l, r) = sides(col, row())
     df = df.withColumns({"_d": r - l, "_s": l + 2 * F.col(col) + r})
-    (du, dd), (su, sd) = sides("_d", COLUMN), sides("_s", COLUMN)
+    (du, dd), (su, sd) = sides("_d", column()), sides("_s", column())
     gx, gy = F.abs(du + 2 * F.col("_d") + dd), F.abs(sd - su)
     half = (F.least(gx, F.lit(255)) + F.least(gy, F.lit(255))) * F.lit(0.5)
     return df.withColumn(out, F.rint(half).cast("int")).drop("_d", "_s")
@@ -66,7 +71,7 @@ def _mirrored(values: Column, at: Column, n: Column, taps) -> Column:
 
 def blur(df: DataFrame, col: str, taps=BLUR_TAPS) -> DataFrame:
     """Separable blur in 1/256: no rounding between the passes, (sum + 32768) >> 16 after both."""
-    for at, w in (("x", ROW), ("y", COLUMN)):
+    for at, w in (("x", row()), ("y", column())):
         every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         line = F.collect_list(col).over(every)
         df = df.withColumn("_line", line).withColumn(col, _mirrored(F.col("_line"), F.col(at), F.size("_line"), taps)).drop("_line")

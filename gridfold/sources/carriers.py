@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-FRAMES = T._parse_datatype_string("stream_id string, frame_id long, height int, width int, channels int, data binary")
+FRAMES = "stream_id string, frame_id long, height int, width int, channels int, data binary"
 SIDE = 8
 
 
@@ -54,7 +53,7 @@ def netpbm_frames(spark: SparkSession, path: str, stream: str = "files", pattern
                 c = 3 if kind == b"P6" else 1
                 data = raw[len(raw) - int(w) * int(h) * c :]
                 rows.append((stream, n, int(h), int(w), c, data))
-            yield pd.DataFrame(rows, columns=FRAMES.names)
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in FRAMES.split(", ")])
 
     return files.where(number != "").select(number.cast("long").alias("frame_id"), "content").mapInPandas(decode, FRAMES)
 
