@@ -130,7 +130,7 @@ def permuted(x: str, key: bytes, label: str, step: int) -> str:
 
 
 def luhn(digits: str) -> int:
-    return sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits)))) % 10
+    return sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(map(int, reversed(digits)))) % 10
 
 
 def surrogate(kind: str, c: str, key: bytes, attempt: int = 0) -> str:
