@@ -181,18 +181,19 @@ def marked(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 #: Sizes and places are stored up to so much; the filters pass whatever is as large.
 LARGE = (1 << 16) - 1
 #: One word of the prefix of one set.
-ENTRY = np.dtype([("w", np.uint32), ("n", np.uint16), ("pos", np.uint16), ("k1", np.int64), ("b1", U), ("b2", U)])
+#: `order` rises with the place of the set's first line, though places near each other may share one.
+ENTRY = np.dtype([("w", np.uint32), ("n", np.uint16), ("pos", np.uint16), ("order", np.uint32), ("k1", np.int64), ("b1", U), ("b2", U)])
 
 
 def entries(b: pa.RecordBatch) -> np.ndarray:
-    """The entries of a batch of (k1, n, b1, b2, prefix)."""
-    lists = b.column(4)
+    """The entries of a batch of (k1, n, b1, b2, order, prefix)."""
+    lists = b.column(5)
     w = lists.flatten().to_numpy(zero_copy_only=False)
     p = np.diff(lists.offsets.to_numpy())
     row = np.repeat(np.arange(len(p)), p)
     e = np.empty(len(w), ENTRY)
     e["w"], e["pos"] = w.view(np.uint32), np.minimum(np.arange(len(w)) - np.repeat(np.cumsum(p) - p, p), LARGE)
-    for name, i in (("k1", 0), ("n", 1), ("b1", 2), ("b2", 3)):
+    for name, i in (("k1", 0), ("n", 1), ("b1", 2), ("b2", 3), ("order", 4)):
         x = b.column(i).to_numpy(zero_copy_only=False)
         e[name] = x.view(U)[row] if name[0] == "b" else np.minimum(x, LARGE)[row] if name == "n" else x[row]
     return e
@@ -212,9 +213,10 @@ def bins_of(load: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, np.array(splits, np.int32)
 
 
-def joined(e: np.ndarray, apart: np.ndarray | None, num: int, den: int, block: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Pairs of keys of entries of one word that pass the length, prefix, positional and bitmap
-    filters. `apart`: which of two parts an entry is of, if only pairs across count."""
+def joined(e: np.ndarray, apart: np.ndarray | None, num: int, den: int, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, key of an earlier set, 2 x differing bits, and 1 if the order can't tell) of entries of one word that pass the length,
+    prefix, positional and bitmap filters; both ways round where the order can't tell.
+    `apart`: which of two parts an entry is of, if only pairs across count."""
     order = np.lexsort((e["k1"], e["n"], e["w"]))
     e = e[order]
     apart = None if apart is None else apart[order]
@@ -242,24 +244,48 @@ def joined(e: np.ndarray, apart: np.ndarray | None, num: int, den: int, block: i
         ok &= e["k1"][x] != e["k1"][y]
         if apart is not None:
             ok &= apart[x] != apart[y]
-        if ok.any():
-            a, b = e["k1"][x[ok]], e["k1"][y[ok]]
-            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        x, y, differ = x[ok], y[ok], differ[ok]
+        for late, early in ((x, y), (y, x)):
+            ok = e["order"][late] >= e["order"][early]
+            if ok.any():
+                tied = e["order"][late[ok]] == e["order"][early[ok]]
+                yield e["k1"][late[ok]], e["k1"][early[ok]], 2 * differ[ok] + tied
 
 
-def candidates(sets: DataFrame, num: int, den: int, most: int = 400_000, fine: int = 1 << 16) -> DataFrame:
-    """Pairs (a, b) of keys of sets that may be similar; a pair may come more than once.
+def likeliest(late: np.ndarray, early: np.ndarray, differ: np.ndarray) -> list[pa.Array]:
+    """Of each late set the candidate with the fewest differing bits, and how many it has."""
+    order = np.lexsort((early, differ, late))
+    late, early, differ = late[order], early[order], differ[order]
+    first = np.flatnonzero(np.diff(late, prepend=~late[:1]))
+    return [pa.array(late[first]), pa.array(early[first]), pa.array(differ[first]), pa.array(np.diff(np.append(first, len(late))))]
+
+
+def candidates(sets: DataFrame, num: int, den: int, only: np.ndarray | None = None, words: np.ndarray | None = None, most: int = 200_000, fine: int = 1 << 16) -> DataFrame:
+    """(a, b, differ, n): keys of sets, and of earlier ones that may be similar.
+
+    Of each set only the likeliest candidate of a bin, and their number there, unless `only`
+    is given: then all candidates of the sets that it marks, by the words that `words` marks,
+    those of their prefixes. A pair may come more than once.
 
     Entries meet by their word in bins of about equal load, sent as packed blocks; a word with
     more than `most` entries is split into parts, and each two parts meet in a task of their own.
     """
     spark = sets.sparkSession
-    sets = sets.where(F.size("prefix") > 0).select("k1", "n", "b1", "b2", "prefix")
+    low, high = sets.agg(F.min("place.doc_id.id"), F.max("place.doc_id.id")).first()
+    span = float((high or 0) - (low or 0)) + 1
+    order = F.coalesce(F.floor((F.col("place.doc_id.id") - F.lit(low or 0)) / F.lit(span) * F.lit(4294967295.0)), F.lit(0)).cast("long")
+    sets = sets.where(F.size("prefix") > 0).select("k1", "n", "b1", "b2", order.alias("order"), "prefix")
+    if only is not None:
+        only, words = spark.sparkContext.broadcast(only), spark.sparkContext.broadcast(words)
+
+    def own(b: pa.RecordBatch) -> np.ndarray:
+        e = entries(b)
+        return e if words is None else e[marked(np.ascontiguousarray(e["w"]).view(np.int32), words.value)]
 
     def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(fine, np.int64)
         for b in batches:
-            n += np.bincount(entries(b)["w"] % fine, minlength=fine)
+            n += np.bincount(own(b)["w"] % fine, minlength=fine)
         yield blocks_of(n, _BLOCK)
 
     plan = spark.sparkContext.broadcast(bins_of(merged_blocks(sets.mapInArrow(loads, "block int, data binary"), fine, "sum"), most))
@@ -275,33 +301,41 @@ def candidates(sets: DataFrame, num: int, den: int, most: int = 400_000, fine: i
             e, at = e[order], at[order]
             rows = []
             for lo, hi in zip(first := np.flatnonzero(np.diff(at, prepend=-1)), np.append(first[1:], len(at))):
-                k, own = int(at[lo]), e[lo:hi]
+                k, mine = int(at[lo]), e[lo:hi]
                 if (s := int(splits[k])) == 1:
-                    rows.append((k, 0, 0, 0, own.tobytes()))
+                    rows.append((k, 0, 0, 0, mine.tobytes()))
                     continue
-                part = (V.mix(own["k1"].view(U)) % U(s)).astype(np.int64)
+                part = (V.mix(np.ascontiguousarray(mine["k1"]).view(U)) % U(s)).astype(np.int64)
                 for i in range(s):
-                    if len(mine := own[part == i]):
-                        rows += [(k, min(i, j), max(i, j), i, mine.tobytes()) for j in range(s)]
+                    if len(some := mine[part == i]):
+                        rows += [(k, min(i, j), max(i, j), i, some.tobytes()) for j in range(s)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (*(pa.int32(),) * 4, pa.binary()))], ["bin", "i", "j", "part", "data"])
 
         for b in batches:
-            held.append(entries(b))
+            held.append(own(b))
             size += len(held[-1])
-            if size > 2_000_000:
+            if size > 300_000:
                 yield from out()
                 held, size = [], 0
         if size:
             yield from out()
 
+    names = ["a", "b", "differ", "n"]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, marks = None, [], []
 
         def out() -> Iterator[pa.RecordBatch]:
             e = np.concatenate(parts)
             apart = np.concatenate(marks) if key[1] != key[2] else None
-            for ab in joined(e, apart, num, den):
-                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+            for late, early, differ in joined(e, apart, num, den):
+                if only is not None:
+                    ok = marked(late, only.value)
+                    pairs = np.unique(np.stack([late[ok], early[ok]], axis=1), axis=0)
+                    zero = pa.array(np.zeros(len(pairs), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), zero, zero], names)
+                else:
+                    yield pa.RecordBatch.from_arrays(likeliest(late, early, differ), names)
 
         for b in batches:
             for k, i, j, part, data in zip(*(b.column(c).to_pylist() for c in range(4)), b.column(4)):
@@ -316,20 +350,40 @@ def candidates(sets: DataFrame, num: int, den: int, most: int = 400_000, fine: i
 
     dealt = sets.mapInArrow(deal, "bin int, i int, j int, part int, data binary")
     n = max(1, int(plan.value[1].astype(np.int64) @ (plan.value[1] + 1) // 2))
-    return dealt.repartition(min(n, 20_000), "bin", "i", "j").sortWithinPartitions("bin", "i", "j").mapInArrow(meet, "a long, b long")
+    return dealt.repartition(min(n, 20_000), "bin", "i", "j").sortWithinPartitions("bin", "i", "j").mapInArrow(meet, "a long, b long, differ long, n long")
 
 
 def similar_sets(docs: DataFrame, sets: DataFrame, ranks, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Pairs (k1, k2, o1, o2) of different sets whose Jaccard similarity is num / den or more, both ways round."""
+    """(k1, k2, o1, o2): sets with a similar one, an earlier one if there is any.
+
+    First each set's likeliest candidate is verified. A set that it doesn't settle, and that has
+    other candidates, then has all of them verified; groups of near copies settle at once.
+    """
+    best = candidates(sets, num, den).groupBy("a").agg(F.min(F.struct("differ", "b")).alias("m"), F.sum("n").alias("n"))
+    best = scratch.put(best.select("a", F.col("m.b").alias("b"), F.col("m.differ").alias("differ"), "n"), "best")
+    links = verified(docs, sets, best.select("a", "b"), ranks, num, den, scratch, "first")
+    settled = best.where("differ % 2 = 0").join(links.select(F.col("k1").alias("a")), "a", "left_semi").select("a")
+    left = scratch.put(best.where("n > 1").join(settled, "a", "left_anti").select(F.col("a").alias("k1")), "left")
+    if not left.head(1):
+        return links
+    words = sets.join(left, "k1", "left_semi").select(F.explode("prefix").alias("w"))
+    rest = candidates(sets, num, den, marks_of(left), marks_of(words)).select("a", "b").join(left.select(F.col("k1").alias("a")), "a", "left_semi").distinct()
+    rest = scratch.put(rest.join(best.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    return links.union(verified(docs, sets, rest, ranks, num, den, scratch, "second"))
+
+
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, ranks, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """(k1, k2, o1, o2) of those pairs (a, b) whose full sets are similar enough. The sets come
+    from a pass over the documents that skips those whose ids aren't marked."""
     spark = docs.sparkSession
-    pairs = scratch.put(candidates(sets, num, den).distinct(), "pairs")
-    wanted = spark.sparkContext.broadcast(marks_of(pairs.select(F.explode(F.array("a", "b")))))
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct().join(sets.select("k1", F.xxhash64("place.doc_id").alias("doc")), "k1")
+    keys = scratch.put(keys, f"keys-{name}")
+    wanted, owners = (spark.sparkContext.broadcast(marks_of(keys.select(c))) for c in ("k1", "doc"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not wanted.value.any():
-            return
         for b in batches:
-            data, off = V.bytes_of(b.column(0))
+            b = b.filter(pa.array(marked(b.column(0).to_numpy(), owners.value), pa.bool_()))
+            data, off = V.bytes_of(b.column(1))
             for i, j in V.chunks(off):
                 x = Lines(data[off[i] : off[j]], off[i : j + 1] - off[i], ranks.value)
                 k1 = x.k1.view(np.int64)
@@ -338,8 +392,8 @@ def similar_sets(docs: DataFrame, sets: DataFrame, ranks, num: int, den: int, sc
                 h = [np.sort(x.hash[x.first[r] : x.first[r] + x.size[r]]).tobytes() for r in at]
                 yield pa.RecordBatch.from_arrays([_int64(x.k1[at]), _int64(x.k2[at]), pa.array(h, pa.binary())], ["k1", "k2", "words"])
 
-    full = docs.select(whole_text(docs)).mapInArrow(tokens, "k1 long, k2 long, words binary").dropDuplicates(["k1", "k2"])
-    full = scratch.put(full, "words")
+    full = docs.select(F.xxhash64("doc_id"), whole_text(docs)).mapInArrow(tokens, "k1 long, k2 long, words binary").join(keys.select("k1"), "k1", "left_semi").dropDuplicates(["k1", "k2"])
+    full = scratch.put(full, f"words-{name}")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -349,12 +403,14 @@ def similar_sets(docs: DataFrame, sets: DataFrame, ranks, num: int, den: int, sc
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(common * den >= num * (len(p) + len(q) - common))
             b = b.filter(pa.array(ok, pa.bool_()))
-            for c in ((0, 1, 3, 4), (3, 4, 0, 1)):
-                yield pa.RecordBatch.from_arrays([b.column(i) for i in c], ["k1", "k2", "o1", "o2"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in (0, 1, 3, 4)], ["k1", "k2", "o1", "o2"])
 
     one = full.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("words").alias("x"))
     two = full.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("words").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "a2", "x", "b", "b2", "y").mapInArrow(verify, "k1 long, k2 long, o1 long, o2 long")
+    found = pairs.join(one, "a").join(two, "b").select("a", "a2", "x", "b", "b2", "y").mapInArrow(verify, "k1 long, k2 long, o1 long, o2 long")
+    found = scratch.put(found, f"found-{name}")
+    scratch.drop(f"words-{name}", f"keys-{name}")
+    return found
 
 
 def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN, scratch: Scratch | None = None) -> DataFrame:
@@ -370,7 +426,7 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN, scratch: Scr
     sets = scratch.put(sets.select("k1", "k2", "times", F.struct("s.doc_id", "s.line").alias("place"), "s.n", "s.b1", "s.b2", "s.prefix"), "sets")
     links = scratch.put(similar_sets(docs, sets, ranks, num, den, scratch), "links")
     sets = scratch.put(sets.select("k1", "k2", "times", "place"), "places")
-    scratch.drop("sets", "pairs", "words")
+    scratch.drop("sets", "best", "rest", "left")
     known = sets.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), "place")
     near = links.join(known, ["o1", "o2"]).groupBy("k1", "k2").agg(F.min("place").alias("near"))
     first = (
@@ -392,7 +448,7 @@ def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, scratch: Scratc
     and repeated rows don't remove each other. Columns named n_lines and n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = repeated_lines(docs, num, den, scratch).select(F.col("doc_id").alias("_id"), "lines")
+    gone = repeated_lines(docs, num, den, scratch).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_gone"))
     names = docs.columns
     at = names.index("text")
     schema = T.StructType([*docs.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -417,4 +473,4 @@ def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, scratch: Scratc
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], schema.names)
 
     same: Column = docs["doc_id"].eqNullSafe(gone["_id"])
-    return docs.join(gone, same, "left").select(*(docs[c] for c in names), "lines").mapInArrow(cut, schema)
+    return docs.join(gone, same, "left").select(*(docs[c] for c in names), gone["_gone"]).mapInArrow(cut, schema)
