@@ -20,6 +20,11 @@ def ycrcb(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
     return _byte(y), _byte(cr), _byte(cb)
 
 
+def bus_bytes(height: Column, width: Column, fused: bool) -> Column:
+    """Bytes that cross the bus for a frame: 8 a pixel with all steps on the device, else 17."""
+    return height * width * (8 if fused else 17)
+
+
 def grey(b: Column, g: Column, r: Column) -> Column:
     return (b * 0.114 + g * 0.587 + r * 0.299).cast("float")
 

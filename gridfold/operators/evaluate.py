@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridfold.functions import pixels as P
+from gridfold.params import Params
 
 
 def confusion(df: DataFrame, by: list[str], pred: str = "pred", truth: str = "truth") -> DataFrame:
@@ -41,6 +46,63 @@ def first_divergence(a: DataFrame, b: DataFrame, key: list[str], least: float =
     return both.where(F.abs(F.col("_a") - F.col("_b")) > least).groupBy(*key).agg(F.min("frame_id").alias("first_frame"))
 
 
+def straddles(a: np.ndarray, b: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Whether two margins lie on both sides of 0 and within a thousandth of the scale."""
+    return (a != b) & (np.minimum(a, b) <= 0) & (np.maximum(a, b) >= 0) & (np.abs(a.astype(float) - b) < 1e-3 * np.maximum(scale, 1))
+
+
+def seed_proofs(a, b, x: np.ndarray, params: Params = Params()) -> np.ndarray:
+    """Of P pixels with states a, b = (n, w, v, m) before a frame x (C, P): whether the states are
+    close, and a distance that both reach lies at a branch, on either side of it."""
+    (na, wa, va, ma), (nb, wb, vb, mb) = a, b
+    proof, near = np.zeros(len(na), bool), na == nb
+    one, two = near.copy(), near.copy()
+    for k in range(params.modes):
+        live = k < np.minimum(na, nb)
+        for p, q in ((wa[k], wb[k]), (va[k], vb[k]), *zip(ma[k], mb[k])):
+            near = near & (~live | (np.abs(p - q) < 1e-3))
+        d = [np.zeros(len(na), np.float32) for _ in range(2)]
+        for i, m in enumerate((ma, mb)):
+            for c in range(len(x)):
+                d[i] = d[i] + (m[k, c] - x[c]) * (m[k, c] - x[c])
+        scale = np.float32(params.background_threshold) * np.maximum(va[k], vb[k])
+        for t in (params.background_threshold, params.generation_threshold):
+            proof |= live & one & two & straddles(d[0] - np.float32(t) * va[k], d[1] - np.float32(t) * vb[k], scale)
+        one &= ~(live & (d[0] < np.float32(params.generation_threshold) * va[k]))
+        two &= ~(live & (d[1] < np.float32(params.generation_threshold) * vb[k]))
+    return proof & near
+
+
+def seeds(a: DataFrame, b: DataFrame, pixels: DataFrame, params: Params = Params(), least: float = 1e-4) -> DataFrame:
+    """(stream_id, y, x, frame_id, proven): of each pixel the first frame where two folds with
+    snapshots part, and whether their states before it prove that rounding parted them."""
+    key = ["stream_id", "y", "x"]
+    before = Window.partitionBy(*key).orderBy("frame_id")
+
+    def lagged(df: DataFrame, side: str) -> DataFrame:
+        held = [F.lag(c).over(before).alias(f"{c}_{side}") for c in ("n", "w", "v", "m")]
+        return df.select(*key, "frame_id", F.col("bg_prob").alias(f"p_{side}"), *held)
+
+    both = lagged(a, "a").join(lagged(b, "b"), [*key, "frame_id"]).where(F.abs(F.col("p_a") - F.col("p_b")) > least)
+    first = both.withColumn("_at", F.row_number().over(before)).where("_at = 1").join(pixels, [*key, "frame_id"])
+    k, c = params.modes, params.channels
+
+    def prove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            known = df["n_a"].notna() & df["n_b"].notna()
+            out, own = df[[*key, "frame_id"]].assign(proven=False), df[known]
+            if len(own):
+                sides = []
+                for s in "ab":
+                    w, v, m = (np.stack(own[f"{x}_{s}"].to_list()).astype(np.float32).T for x in "wvm")
+                    sides.append((own[f"n_{s}"].to_numpy(int), w, v, m.reshape(k, c, -1)))
+                x = own[["c0", "c1", "c2"][:c]].to_numpy(np.float32).T
+                out.loc[known, "proven"] = seed_proofs(*sides, x, params)
+            yield out
+
+    return first.mapInPandas(prove, "stream_id string, y int, x int, frame_id long, proven boolean")
+
+
 def pruned_modes(result: DataFrame) -> DataFrame:
     """How many modes each frame has fewer than the one before, by pixel, and their sum."""
     w = Window.partitionBy("stream_id", "y", "x").orderBy("frame_id")

@@ -6,14 +6,15 @@ once, in single precision and in the order that the model prescribes.
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.params import Params
+from gridfold.params import NEIGHBOURS, PROPAGATION, Params
 
 f32 = np.float32
 EPSILON = f32(1.1920929e-07)
@@ -154,36 +155,110 @@ class State:
         return np.clip(np.rint(out), 0, 255).astype(np.int32)
 
 
-RESULT = "stream_id string, frame_id long, y int, x int, mask int, bg_prob double, n int"
+class Block:
+    """The pixels of a block, their places in a `State`, and its fold; grows with new pixels."""
 
+    ARRAYS = ("w", "v", "m", "n", "alpha", "frames")
 
-def fold(pixels: DataFrame, params: Params = Params(), update: float = -1.0, rows: int = 16, final: bool = False) -> DataFrame:
-    """Mask, background probability and modes in use of every pixel and frame (or, if `final`,
-    the learned background of every pixel).
+    def __init__(self, params: Params):
+        self.params, self.state = params, State(0, params)
+        self.keys = np.zeros(0, np.int64)
 
-    Frames of a pixel are taken by number; a filter on frames belongs after the fold, which has
-    to see all of them. One shuffle by stream and block of `rows` lines.
-    """
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, keys=self.keys, **{a: getattr(self.state, a) for a in self.ARRAYS})
+        return out.getvalue()
 
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+    @classmethod
+    def load(cls, data: bytes, params: Params) -> Block:
+        out, held = cls(params), np.load(io.BytesIO(data))
+        out.keys, out.state = held["keys"], State(len(held["keys"]), params)
+        for a in cls.ARRAYS:
+            setattr(out.state, a, held[a])
+        return out
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Places of pixels; new ones come after those known."""
+        new = np.setdiff1d(keys, self.keys)
+        if len(new):
+            fresh = State(len(new), self.params)
+            for a in self.ARRAYS:
+                setattr(self.state, a, np.concatenate([getattr(self.state, a), getattr(fresh, a)], axis=-1))
+            self.keys = np.concatenate([self.keys, new])
+            self.state.pixels = len(self.keys)
+        order = np.argsort(self.keys)
+        return order[np.searchsorted(self.keys, keys, sorter=order)]
+
+    def pass_on(self, mask: np.ndarray, on: np.ndarray) -> None:
+        """Some background pixels seed their first mode, at a tenth of its weight, in the last slot of
+        a neighbour. All is read before anything is written; of two writers the later by row stays."""
+        s = self.state
+        y, x = self.keys >> 32, self.keys & 0xFFFFFFFF
+        h = (y * 1000003 + x * 999983).astype(np.int32)
+        from_ = np.flatnonzero(on & (mask == 0) & (s.n > 0) & ((h & 0x7FFFFFFF) % PROPAGATION == 0))
+        from_ = from_[np.argsort(self.keys[from_])]
+        step = np.array(NEIGHBOURS)[(h[from_] >> 4) & 7]
+        ny, nx = y[from_] + step[:, 0], x[from_] + step[:, 1]
+        key = np.where((ny >= 0) & (nx >= 0), ny << 32 | nx, -1)
+        inside = np.isin(key, self.keys)
+        from_, to = from_[inside], self.places(key[inside])
+        last = len(to) - 1 - np.unique(to[::-1], return_index=True)[1]
+        from_, to = from_[last], to[last]
+        slot = np.minimum(s.n[to], self.params.modes - 1)
+        w, v, m = s.w[0, from_] * f32(0.1), s.v[0, from_], s.m[0][:, from_].T
+        s.w[slot, to], s.v[slot, to], s.m[slot, :, to] = w, v, m
+        s.n[to] = np.minimum(s.n[to] + 1, self.params.modes)
+
+    def fold(self, df: pd.DataFrame, update: float, snapshot: bool = False) -> pd.DataFrame:
         df = df.sort_values(["frame_id", "y", "x"], kind="stable")
-        place = df.groupby(["y", "x"], sort=True).ngroup().to_numpy()
-        state = State(int(place.max()) + 1, params)
-        c = df[["c0", "c1", "c2"]].to_numpy(f32)
+        place = self.places(df["y"].to_numpy(np.int64) << 32 | df["x"].to_numpy(np.int64))
+        state, c = self.state, df[["c0", "c1", "c2"]].to_numpy(f32)
         mask, prob, modes = np.zeros(len(df), np.int32), np.zeros(len(df)), np.zeros(len(df), np.int32)
+        held: dict[str, list[np.ndarray]] = {"w": [], "v": [], "m": []}
         edge = np.flatnonzero(np.diff(df["frame_id"].to_numpy(), prepend=np.int64(-(1 << 62))))
         for lo, hi in zip(edge, np.append(edge[1:], len(df))):
             at = place[lo:hi]
             x, on = np.zeros((3, state.pixels), f32), np.zeros(state.pixels, bool)
             x[:, at], on[at] = c[lo:hi].T, True
-            m, b = state.step(x[: params.channels], update, on)
+            m, b = state.step(x[: self.params.channels], update, on)
+            if self.params.propagate:
+                self.pass_on(m, on)
             mask[lo:hi], prob[lo:hi], modes[lo:hi] = m[at], b[at], state.n[at]
-        if final:
-            out = df[["stream_id", "y", "x"]].assign(_p=place).drop_duplicates("_p")
-            b = state.background()[:, out["_p"].to_numpy()]
-            return out.drop(columns="_p").assign(c0=b[0], c1=b[1], c2=b[2])
-        return df[["stream_id", "frame_id", "y", "x"]].assign(mask=mask, bg_prob=prob, n=modes)
+            if snapshot:
+                held["w"] += list(state.w[:, at].T)
+                held["v"] += list(state.v[:, at].T)
+                held["m"] += list(state.m[:, :, at].reshape(-1, len(at)).T)
+        out = df[["stream_id", "frame_id", "y", "x"]].assign(mask=mask, bg_prob=prob, n=modes)
+        return out.assign(**held) if snapshot else out
+
 
-    schema = "stream_id string, y int, x int, c0 int, c1 int, c2 int" if final else RESULT
-    return pixels.groupBy("stream_id", F.expr(f"y div {int(rows)}").alias("block")).applyInPandas(run, schema)
+RESULT = "stream_id string, frame_id long, y int, x int, mask int, bg_prob double, n int"
+SNAPSHOT = f"{RESULT}, w array<float>, v array<float>, m array<float>"
+BACKGROUND = "stream_id string, y int, x int, c0 int, c1 int, c2 int"
+
+
+def block_of(params: Params, rows: int) -> Column:
+    """Blocks of `rows` lines; a whole frame where modes pass from pixel to pixel."""
+    return F.lit(0).alias("block") if params.propagate else F.expr(f"y div {int(rows)}").alias("block")
+
+
+def fold(pixels: DataFrame, params: Params = Params(), update: float = -1.0, rows: int = 16, final: bool = False, snapshot: bool = False) -> DataFrame:
+    """Mask, background probability and modes in use of every pixel and frame (or, if `final`,
+    the learned background of every pixel; if `snapshot`, with the weights, variances and means,
+    mode by mode, after each frame).
+
+    Frames of a pixel are taken by number; a filter on frames belongs after the fold, which has
+    to see all of them. One shuffle by stream and block of `rows` lines.
+    """
+
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        block = Block(params)
+        out = block.fold(df, update, snapshot)
+        if not final:
+            return out
+        b = block.state.background()
+        c = {f"c{i}": b[min(i, len(b) - 1)] for i in range(3)}
+        return pd.DataFrame({"stream_id": key[0], "y": block.keys >> 32, "x": block.keys & 0xFFFFFFFF, **c})
 
+    schema = BACKGROUND if final else SNAPSHOT if snapshot else RESULT
+    return pixels.groupBy("stream_id", block_of(params, rows)).applyInPandas(run, schema)

@@ -80,6 +80,11 @@ def seeded_fill(m: np.ndarray, seed: tuple[int, int] = (50, 50)) -> np.ndarray:
     return np.where(spread(at, m == 0)[0], 0, 255)
 
 
+def largest_filled(m: np.ndarray, seed: tuple[int, int] = (50, 50)) -> np.ndarray:
+    """The largest component, and background that `seed` doesn't reach; an empty mask stays."""
+    return seeded_fill(largest_component(m), seed) if (m != 0).any() else m
+
+
 def by_frame(df: DataFrame, col: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """`kernel` on the mask `col` of every frame of (frame, y, x, col); one shuffle by frame."""
 

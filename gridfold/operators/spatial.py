@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,6 +47,34 @@ def close(df: DataFrame, col: str, size: int) -> DataFrame:
     return erode(dilate(df, col, size // 2), col, size // 2) if size > 1 else df
 
 
+def ellipse(size: int) -> list[tuple[int, int]]:
+    """(dy, half width) of each line of an elliptic element of odd size."""
+    r = size // 2
+    return [(dy, round(r * math.sqrt((r * r - dy * dy) / (r * r))) if r else 0) for dy in range(-r, r + 1)]
+
+
+def _elliptic(df: DataFrame, col: str, size: int, of, best) -> DataFrame:
+    """An extreme over an ellipse: one along each line for every width, then one across lines.
+    What lies beyond the border doesn't count."""
+    lines, w = ellipse(size), column()
+    df = df.withColumns({f"_e{k}": of(col).over(row().rowsBetween(-k, k)) for k in {k for _, k in lines}})
+    near = [F.lag(f"_e{k}", -dy).over(w) for dy, k in lines]
+    out = df.withColumn(col, best(*near) if len(near) > 1 else near[0])
+    return out.drop(*(f"_e{k}" for k in {k for _, k in lines}))
+
+
+def dilate_ellipse(df: DataFrame, col: str, size: int) -> DataFrame:
+    return _elliptic(df, col, size, F.max, F.greatest)
+
+
+def erode_ellipse(df: DataFrame, col: str, size: int) -> DataFrame:
+    return _elliptic(df, col, size, F.min, F.least)
+
+
+def close_ellipse(df: DataFrame, col: str, size: int) -> DataFrame:
+    return erode_ellipse(dilate_ellipse(df, col, size), col, size) if size > 1 else df
+
+
 def sobel(df: DataFrame, col: str, out: str = "edge") -> DataFrame:
     """Mean of the saturated absolute gradients; the border is mirrored without its edge."""
 

@@ -20,8 +20,13 @@ class Params:
     shadow_ratio: float = 0.5
     detect_shadows: bool = False
     adaptive: bool = False
+    propagate: bool = False
     confidence: float = 0.5
 
 
 #: The blur's 15 taps for sigma 5 in 1/256.
 BLUR_TAPS = (9, 11, 15, 17, 19, 22, 23, 24, 23, 22, 19, 17, 15, 11, 9)
+
+#: One background pixel in so many passes its first mode on; the steps (y, x) to its neighbours.
+PROPAGATION = 16
+NEIGHBOURS = ((0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1))

@@ -11,7 +11,7 @@ from gridfold.functions import pixels as P
 from gridfold.operators import evaluate, mixture, shapes, spatial
 from gridfold.params import BLUR_TAPS, Params
 from gridfold.plans import chains
-from gridfold.sources.carriers import event_pixels, table, vector_grid
+from gridfold.sources.carriers import SIDE, event_pixels, table, vector_grid
 
 LOW = 0.2
 
@@ -48,6 +48,20 @@ def mixture_adaptive(s, d):
     return mixture.fold(event_pixels(s, d), Params(adaptive=True))
 
 
+def mixture_propagate(s, d):
+    return _low(s, d, propagate=True)
+
+
+def state_snapshot(s, d):
+    return mixture.fold(event_pixels(s, d), Params(), LOW, snapshot=True)
+
+
+def divergence_seeds(s, d):
+    """Where folds under slightly different ratios part, and whether rounding explains it."""
+    p = event_pixels(s, d)
+    return evaluate.seeds(mixture.fold(p, Params(), LOW, snapshot=True), mixture.fold(p, Params(modes=5, complexity=0.0501), LOW, snapshot=True), p)
+
+
 def background_image(s, d):
     return mixture.fold(event_pixels(s, d), Params(), LOW, final=True)
 
@@ -116,7 +130,7 @@ def metrics(s, d):
 def chain_leaderboard(s, d):
     g = spatial.sobel(vector_grid(s, d), "grey").select("frame", "y", "x", "e", "m", "prob", "edge")
     truth = g.select("frame", "y", "x", F.when(F.col("e") > 0.02, 255).otherwise(0).alias("truth"))
-    each = [f(g).select("frame", "y", "x", F.lit(name).alias("chain"), F.col("m").alias("pred")) for name, f in chains.CHAINS.items()]
+    each = [f(g).select("frame", "y", "x", F.lit(name).alias("chain"), F.col("m").alias("pred")) for name, f in chains.chains(SIDE, (0, 0)).items()]
     both = reduce(DataFrame.unionByName, each).join(truth, ["frame", "y", "x"])
     empty = both.groupBy("chain", "frame").agg(F.max("pred").alias("top")).groupBy("chain").agg(F.count_if(F.col("top") < 255).alias("empty"))
     return evaluate.leaderboard(evaluate.metrics(evaluate.confusion(both, ["chain"])).join(empty, "chain"))
@@ -164,13 +178,17 @@ def parity_verdict(s, d):
 
 
 def queries():
-    own = [color_ycrcb, alpha_ramp, mixture_fold, mixture_shadow, mixture_adaptive, background_image, foreground_counts, threshold_confidence, binarize, sobel_edges, gates, blur_q8, composite, hole_count, confusion, metrics, chain_leaderboard, mask_diff, cumulative_diff, agreement, error_classes, prune_events, first_divergence, parity_verdict]
+    own = [color_ycrcb, alpha_ramp, mixture_fold, mixture_shadow, mixture_adaptive, mixture_propagate, state_snapshot, divergence_seeds, background_image, foreground_counts, threshold_confidence, binarize, sobel_edges, gates, blur_q8, composite, hole_count, confusion, metrics, chain_leaderboard, mask_diff, cumulative_diff, agreement, error_classes, prune_events, first_divergence, parity_verdict]
     masks = {
         "median5": lambda g: spatial.median(g, "m", 5),
         "median3": lambda g: spatial.median(g, "m", 3),
         "dilate": lambda g: spatial.dilate(g, "m", 2),
         "erode": lambda g: spatial.erode(g, "m", 1),
         "close_rect": lambda g: spatial.close(g, "m", 3),
+        "close_ellipse": lambda g: spatial.close_ellipse(g, "m", 5),
+        "dilate_ellipse": lambda g: spatial.dilate_ellipse(g, "m", 15),
+        "contour_chain": lambda g: chains.connect(g, SIDE),
+        "contour_largest_chain": lambda g: chains.connect_largest(g, SIDE, (0, 0)),
         "fill_holes": lambda g: shapes.by_frame(g, "m", shapes.fill_holes),
         "fill_reconstruct": lambda g: shapes.by_frame(g, "m", lambda m: shapes.fill_reconstruct(m)[0]),
         "largest_component": lambda g: shapes.by_frame(g, "m", shapes.largest_component),
@@ -198,6 +216,12 @@ def _near(source: str, r: int, value: str, clamp: bool, out: str = "m") -> str:
     return f"SELECT a.frame, a.y, a.x, {value} AS {out} FROM {source} a, range(-{r}, {r + 1}) v(dy), range(-{r}, {r + 1}) h(dx) JOIN {source} b ON b.frame = a.frame AND {on} GROUP BY a.frame, a.y, a.x"
 
 
+def _ellipse_sql(source: str, size: int, value: str) -> str:
+    """An aggregate over the cells of an elliptic element that lie within the frame."""
+    r = size // 2
+    return f"SELECT a.frame, a.y, a.x, {value} AS m FROM {source} a JOIN {source} b ON b.frame = a.frame AND abs(b.y - a.y) <= {r} AND abs(b.x - a.x) <= round_even({r} * sqrt(({r * r} - (b.y - a.y) * (b.y - a.y)) / {r * r}.0), 0) GROUP BY a.frame, a.y, a.x"
+
+
 def _median_sql(source: str, size: int) -> str:
     return _near(source, size // 2, f"CASE WHEN sum(CASE WHEN b.m = 255 THEN 1 ELSE 0 END) >= {size * size // 2 + 1} THEN 255 ELSE 0 END", True)
 
@@ -259,6 +283,8 @@ def oracle_sql():
         "dilate": _GRID + dilate("g", 2),
         "erode": _GRID + erode("g", 1),
         "close_rect": _GRID + f", o AS ({dilate('g', 1)}) " + erode("o", 1),
+        "dilate_ellipse": _GRID + _ellipse_sql("g", 15, "max(b.m)"),
+        "close_ellipse": _GRID + f", o AS ({_ellipse_sql('g', 5, 'max(b.m)')}) " + _ellipse_sql("o", 5, "min(b.m)"),
         "fill_holes": _fill_sql(),
         "fill_reconstruct": _fill_sql(),
         "contour_fill": _fill_sql(),

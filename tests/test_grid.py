@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from gridfold.functions import pixels as P
 from gridfold.operators import evaluate, mixture, shapes, spatial
 from gridfold.params import BLUR_TAPS, Params
+from gridfold.plans import chains
+from gridfold.streaming.fold import fold_stream
 
 f = np.float32
 
@@ -141,3 +143,72 @@ def test_scores(spark):
     c = evaluate.confusion(spark.createDataFrame([(1, *r) for r in rows], "g int, pred int, truth int"), ["g"])
     assert tuple(c.first()) == (1, 3, 3, 0)
     assert evaluate.metrics(c).first().r == 1.0
+
+
+def test_ellipse(spark):
+    assert [k for _, k in spatial.ellipse(5)] == [0, 2, 2, 2, 0] and spatial.ellipse(1) == [(0, 0)]
+    m = np.where(np.random.default_rng(5).random((9, 11)) > 0.8, 255, 0)
+    for size in (3, 7, 15):
+        r, want = size // 2, np.zeros_like(m)
+        for dy, k in spatial.ellipse(size):
+            for dx in range(-k, k + 1):
+                p = np.pad(m, r)
+                want = np.maximum(want, p[r + dy : r + dy + 9, r + dx : r + dx + 11])
+        assert (back(spatial.dilate_ellipse(grid(spark, m), "m", size), m.shape) == want).all()
+        assert (back(spatial.erode_ellipse(grid(spark, 255 - m), "m", size), m.shape) == 255 - want).all()
+    assert chains.sizes(1080) == (41, 91, 59)
+
+
+def cells(frames):
+    return [("s", t, y, x, int(v), int(v), 9) for t, m in enumerate(frames, 1) for y, row in enumerate(m) for x, v in enumerate(row)]
+
+
+PIXELS = "stream_id string, frame_id long, y int, x int, c0 int, c1 int, c2 int"
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    frames = np.random.default_rng(6).choice([40, 44, 200], (12, 5, 4))
+    rows = cells(frames)
+    want = {tuple(r) for r in mixture.fold(spark.createDataFrame(rows, PIXELS), update=0.1, rows=2).collect()}
+    for i in range(3):
+        part = [r for r in rows if (r[1] - 1) // 4 == i and not (i == 0 and r[3] == 3)]
+        late = [r for r in rows if r[3] == 3 and r[1] <= 4] if i == 1 else []
+        spark.createDataFrame(part + late, PIXELS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(PIXELS).parquet(str(tmp_path / "in"))
+        q = fold_stream(source, update=0.1, rows=2).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).start(str(tmp_path / "out"))
+        q.processAllAvailable()
+        q.stop()
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_propagation():
+    block = mixture.Block(Params(propagate=True))
+    keys = np.array([y << 32 | x for y in range(40) for x in range(40)])
+    assert (block.places(keys) == np.arange(1600)).all()
+    s = block.state
+    s.step(np.full((3, 1600), 50, f))
+    h = [(int(np.int64(y * 1000003 + x * 999983).astype(np.int32)), y, x) for y in range(40) for x in range(40)]
+    want = set()
+    for v, y, x in h:
+        if (v & 0x7FFFFFFF) % 16 == 0:
+            dy, dx = [(0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1)][(v >> 4) & 7]
+            if 0 <= y + dy < 40 and 0 <= x + dx < 40:
+                want.add((y + dy) * 40 + x + dx)
+    block.pass_on(np.zeros(1600, int), np.ones(1600, bool))
+    assert want and set(np.flatnonzero(s.n == 2)) == want
+    assert all(s.w[1, i] == f(0.1) and s.m[1, 0, i] == 50 for i in want)
+
+
+def test_seed_proofs(spark):
+    n, w, v = np.array([1, 1, 1]), np.zeros((5, 3), f), np.full((5, 3), 4, f)
+    m = np.zeros((5, 3, 3), f)
+    x = np.array([[8.0, 8.0, 30.0], [0, 0, 0], [0, 0, 0]], f)
+    other = m.copy()
+    other[0, 0] = [1e-4, 0, 1e-4]  # 64 = 16 * 4: at the branch, just below it
+    assert evaluate.seed_proofs((n, w, v, m), (n, w, v, other), x).tolist() == [True, False, False]
+    assert not evaluate.seed_proofs((n, w, v, m), (n + 1, w, v, other), x).any()
+    p = spark.createDataFrame(cells(np.random.default_rng(7).choice([40, 90], (6, 2, 2))), PIXELS)
+    a = mixture.fold(p, update=0.2, snapshot=True)
+    assert evaluate.seeds(a, a, p).count() == 0
+    assert len(a.first().w) == 5 and len(a.first().m) == 15
+    evaluate.seeds(a, mixture.fold(p, Params(complexity=0.2), 0.2, snapshot=True), p).collect()
