@@ -55,7 +55,7 @@ def merged_blocks(parts: DataFrame, length: int, how: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([x.tobytes() for x in got.values()], pa.binary())], ["block", "data"])
 
     out = np.zeros(length, dtype)
-    rows = parts.repartition("block").mapInArrow(merge, "block int, data binary").collect()
+    rows = parts.repartition("block").mapInArrow(V.lean(merge), "block int, data binary").collect()
     size = len(rows[0][1]) // np.dtype(dtype).itemsize if rows else 0
     for i, x in rows:
         out[i * size : (i + 1) * size] = np.frombuffer(x, dtype)
@@ -80,7 +80,7 @@ def word_ranks(texts: DataFrame) -> np.ndarray:
             np.add.at(n, np.concatenate(found or [np.zeros(0, U)]).astype(np.int64), 1)
         yield blocks_of(n, _BLOCK)
 
-    n = merged_blocks(texts.mapInArrow(count, "block int, data binary"), BUCKETS, "sum")
+    n = merged_blocks(texts.mapInArrow(V.lean(count), "block int, data binary"), BUCKETS, "sum")
     ranks = np.empty(BUCKETS, np.uint32)
     ranks[np.argsort(n, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
     return ranks
@@ -151,21 +151,27 @@ def line_table(docs: DataFrame, ranks, num: int, den: int) -> DataFrame:
                 x = Lines(data[off[i] : off[j]], off[i : j + 1] - off[i], ranks.value)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.text + i)), pa.array(x.number, pa.int32()), _int64(x.k1), _int64(x.k2), pa.array(x.size, pa.int32()), _int64(x.b1), _int64(x.b2), x.prefixes(num, den)], names)
 
-    return docs.select("doc_id", whole_text(docs).alias("_text")).mapInArrow(run, schema)
+    return docs.select("doc_id", whole_text(docs).alias("_text")).mapInArrow(V.lean(run), schema)
 
 
 def marks_of(keys: DataFrame, twice: bool = False, marks: int = MARKS) -> np.ndarray:
     """A bitmap of fixed size over hashes of a column of longs: seen, or seen at least twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(marks, np.uint8)
+        seen, again = np.zeros(marks // 8, np.uint8), np.zeros(marks // 8, np.uint8)
         for b in batches:
             at, times = np.unique(mark(b.column(0).to_numpy(zero_copy_only=False), marks), return_counts=True)
-            n[at] = np.minimum(n[at] + np.minimum(times, 2), 2)
-        seen, again = (np.packbits(n >= i).reshape(-1, _BLOCK) for i in (1, 2))
+            if not len(at):
+                continue
+            bits = np.uint8(128) >> (at & 7).astype(np.uint8)
+            first = np.flatnonzero(np.diff(at >> 3, prepend=-1))
+            byte, one = at[first] >> 3, np.bitwise_or.reduceat(bits, first)
+            again[byte] |= seen[byte] & one | np.bitwise_or.reduceat(np.where(times > 1, bits, np.uint8(0)), first)
+            seen[byte] |= one
+        seen, again = seen.reshape(-1, _BLOCK), again.reshape(-1, _BLOCK)
         yield blocks_of((np.concatenate([seen, again], axis=1) if twice else seen).ravel(), _BLOCK * (1 + twice))
 
-    x = merged_blocks(keys.mapInArrow(run, "block int, data binary"), marks // 8 * (1 + twice), "twice" if twice else "or")
+    x = merged_blocks(keys.mapInArrow(V.lean(run), "block int, data binary"), marks // 8 * (1 + twice), "twice" if twice else "or")
     return x.reshape(-1, 2, _BLOCK)[:, 1].ravel() if twice else x
 
 
@@ -288,7 +294,7 @@ def candidates(sets: DataFrame, num: int, den: int, only: np.ndarray | None = No
             n += np.bincount(own(b)["w"] % fine, minlength=fine)
         yield blocks_of(n, _BLOCK)
 
-    plan = spark.sparkContext.broadcast(bins_of(merged_blocks(sets.mapInArrow(loads, "block int, data binary"), fine, "sum"), most))
+    plan = spark.sparkContext.broadcast(bins_of(merged_blocks(sets.mapInArrow(V.lean(loads), "block int, data binary"), fine, "sum"), most))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, splits = plan.value
@@ -348,9 +354,9 @@ def candidates(sets: DataFrame, num: int, den: int, only: np.ndarray | None = No
         if key:
             yield from out()
 
-    dealt = sets.mapInArrow(deal, "bin int, i int, j int, part int, data binary")
+    dealt = sets.mapInArrow(V.lean(deal), "bin int, i int, j int, part int, data binary")
     n = max(1, int(plan.value[1].astype(np.int64) @ (plan.value[1] + 1) // 2))
-    return dealt.repartition(min(n, 20_000), "bin", "i", "j").sortWithinPartitions("bin", "i", "j").mapInArrow(meet, "a long, b long, differ long, n long")
+    return dealt.repartition(min(n, 20_000), "bin", "i", "j").sortWithinPartitions("bin", "i", "j").mapInArrow(V.lean(meet), "a long, b long, differ long, n long")
 
 
 def similar_sets(docs: DataFrame, sets: DataFrame, ranks, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -392,7 +398,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, ranks, num: int
                 h = [np.sort(x.hash[x.first[r] : x.first[r] + x.size[r]]).tobytes() for r in at]
                 yield pa.RecordBatch.from_arrays([_int64(x.k1[at]), _int64(x.k2[at]), pa.array(h, pa.binary())], ["k1", "k2", "words"])
 
-    full = docs.select(F.xxhash64("doc_id"), whole_text(docs)).mapInArrow(tokens, "k1 long, k2 long, words binary").join(keys.select("k1"), "k1", "left_semi").dropDuplicates(["k1", "k2"])
+    full = docs.select(F.xxhash64("doc_id"), whole_text(docs)).mapInArrow(V.lean(tokens), "k1 long, k2 long, words binary").join(keys.select("k1"), "k1", "left_semi").dropDuplicates(["k1", "k2"])
     full = scratch.put(full, f"words-{name}")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +413,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, ranks, num: int
 
     one = full.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("words").alias("x"))
     two = full.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("words").alias("y"))
-    found = pairs.join(one, "a").join(two, "b").select("a", "a2", "x", "b", "b2", "y").mapInArrow(verify, "k1 long, k2 long, o1 long, o2 long")
+    found = pairs.join(one, "a").join(two, "b").select("a", "a2", "x", "b", "b2", "y").mapInArrow(V.lean(verify), "k1 long, k2 long, o1 long, o2 long")
     found = scratch.put(found, f"found-{name}")
     scratch.drop(f"words-{name}", f"keys-{name}")
     return found

@@ -95,7 +95,7 @@ def nodes_of(docs: DataFrame, k: int) -> DataFrame:
             k12 = np.array(keys, U).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n, pa.int64()), _int64(k12[:, 0]), _int64(k12[:, 1]), pa.array(bands, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "bands", "bits"])
 
-    return docs.select("doc_id", whole_text(docs).alias("_text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, k1 long, k2 long, bands binary, bits binary")
+    return docs.select("doc_id", whole_text(docs).alias("_text")).mapInArrow(V.lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, k1 long, k2 long, bands binary, bits binary")
 
 
 def buckets_of(nodes: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ class Matcher:
 
         one = self.nodes.select(F.col("node").alias("a"), F.col("bits").alias("x"))
         two = self.nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"))
-        return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(prune, "a long, b long, matches long")
+        return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(V.lean(prune), "a long, b long, matches long")
 
     def full_sets(self, wanted: DataFrame) -> DataFrame:
         """(node, s): the sorted shingle hashes of the nodes `wanted`, from a pass over the
@@ -187,7 +187,7 @@ class Matcher:
                             found[int(key)] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "s"])
 
-        full = self.docs.select(F.xxhash64("doc_id"), whole_text(self.docs)).mapInArrow(sets, "node long, s binary").join(rows.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        full = self.docs.select(F.xxhash64("doc_id"), whole_text(self.docs)).mapInArrow(V.lean(sets), "node long, s binary").join(rows.select("node"), "node", "left_semi").dropDuplicates(["node"])
         full = self.scratch.put(full, f"sets-{self.turn}")
         self.scratch.drop(f"wanted-{self.turn}")
         return full
@@ -209,7 +209,7 @@ class Matcher:
 
         one = full.select(F.col("node").alias("a"), F.col("s").alias("x"))
         two = full.select(F.col("node").alias("b"), F.col("s").alias("y"))
-        found = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long")
+        found = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(V.lean(verify), "u long, v long")
         found = self.scratch.put(found, f"found-{self.turn}")
         self.scratch.drop(f"sets-{self.turn}")
         self.turn += 1
@@ -301,7 +301,7 @@ class Matcher:
             if group:
                 yield out()
 
-        met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(meet, "u long, v long")
+        met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(V.lean(meet), "u long, v long")
         met = self.scratch.put(met, f"across-{self.turn}")
         self.scratch.drop(f"sets-{self.turn}")
         self.turn += 1

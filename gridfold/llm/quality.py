@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridfold.llm import textvec as V
 from gridfold.llm.common import whole_text
 
 #: Labelled rows in the sample at most; the broadcast holds SAMPLE x RANK floats.
@@ -170,4 +171,4 @@ def score_quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_i
             s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names)
 
-    return docs.select(*keep, whole_text(docs).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, whole_text(docs).alias("_text")).mapInArrow(V.lean(run), schema)
