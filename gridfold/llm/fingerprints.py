@@ -5,12 +5,15 @@ of short common words count little. Each of a term's 128 hash bits votes with th
 or down; three bits' counts share one long, which halves twice the number of sums. A
 fingerprint is two longs, shown as 32 hexadecimal digits.
 
-Fingerprints within `radius` bits agree in at least one of `radius + 1` blocks: one table for
-each block, permuted to the front as its key, finds all of them by equi-joins.
+Fingerprints within `radius` bits differ little in at least one block of 16 bits: at radius 23
+in at most 2 of its bits. A table for each block, keyed by its bits, is asked for the bits of
+the query and for all that differ from them as little, which finds all of them by equi-joins.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,10 @@ BITS = 128
 #: Largest weight of a term, and terms whose votes share a sum: their product is below 2^21.
 WEIGHT, RUN = 16, 1 << 16
 LANES, LANE = 3, 21
-RADIUS = 3
+#: From measured distances (README): near copies lie within it, unrelated texts well beyond.
+RADIUS = 23
+#: Bits of a block, the key of a table.
+BLOCK = 16
 #: Rows of a range of ids at least, and ranges at most.
 RANGE_ROWS, RANGES = 2048, 2000
 
@@ -73,28 +79,43 @@ def distance(a: tuple, b: tuple) -> Column:
     return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b)), F.lit(0))
 
 
+def allowances(radius: int) -> list[int]:
+    """The bits by which each block may differ, -1 where it is not needed: fingerprints beyond
+    all of them differ in at least the sum of (allowance + 1), which is radius + 1."""
+    blocks = BITS // BLOCK
+    return [(radius + 1 + blocks - 1 - i) // blocks - 1 for i in range(blocks)]
+
+
 def within(queries: DataFrame, all_: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(q_hi, q_lo, hi, lo) of all fingerprints within `radius` bits of a query, itself included.
+    """Rows of `all_` (hi, lo and others) with the (q_hi, q_lo) of all queries within `radius`
+    bits, itself included.
 
-    Both sides are distinct fingerprints. A pair that agrees in several blocks comes from the
-    first of them only. The key of a table is its block's number and bits; 64 / ((radius + 1) / 2)
-    bits wide, so `radius + 1` must be even and divide 128.
+    Both sides are distinct fingerprints. A pair that several blocks show comes from the first
+    of them only. The key of a table is its block's number and bits; a query has a row for each
+    of the keys that its allowance reaches, the others one row a table.
     """
-    blocks = radius + 1
-    if blocks % 2 or BITS % blocks:
-        raise ValueError("radius + 1 must be even and divide 128")
-    width = BITS // blocks
+    used = [(i, t) for i, t in enumerate(allowances(radius)) if t >= 0]
 
     def block(hi: str, lo: str, i: int) -> Column:
-        c, at = (hi, i) if i < blocks // 2 else (lo, i - blocks // 2)
-        return F.col(c) if width == 64 else F.shiftrightunsigned(c, width * at).bitwiseAND(F.lit((1 << width) - 1))
+        c, at = (hi, i) if i < 64 // BLOCK else (lo, i - 64 // BLOCK)
+        return F.shiftrightunsigned(c, BLOCK * at).bitwiseAND(F.lit((1 << BLOCK) - 1)).cast("int")
+
+    def keys(hi: str, lo: str, tables: list[int]) -> Column:
+        return F.explode(F.array(*(block(hi, lo, i).bitwiseOR(F.lit(i << BLOCK)) for i in tables))).alias("key")
 
-    def tables(df: DataFrame, hi: str, lo: str) -> DataFrame:
-        return df.select(hi, lo, F.posexplode(F.array(*(block(hi, lo, i) for i in range(blocks)))).alias("table", "bits"))
+    def asked(most: int) -> DataFrame:
+        flips = [sum(1 << x for x in c) for n in range(most + 1) for c in combinations(range(BLOCK), n)]
+        own = queries.select("q_hi", "q_lo", keys("q_hi", "q_lo", [i for i, t in used if t == most]))
+        own = own.select("q_hi", "q_lo", "key", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
+        return own.select("q_hi", "q_lo", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
 
-    first = F.coalesce(*(F.when(block("hi", "lo", i) == block("q_hi", "q_lo", i), F.lit(i)) for i in range(blocks)))
-    found = tables(all_, "hi", "lo").join(tables(queries, "q_hi", "q_lo"), ["table", "bits"])
-    return found.where((distance(("hi", "lo"), ("q_hi", "q_lo")) <= radius) & (F.col("table") == first)).select("q_hi", "q_lo", "hi", "lo")
+    asks = [asked(t) for t in sorted({t for _, t in used})]
+    every = all_.select("*", keys("hi", "lo", [i for i, _ in used]))
+    # not broadcast: the rows of either side are many more than their sources' sizes tell
+    found = every.join((asks[0] if len(asks) == 1 else asks[0].unionByName(asks[1])).hint("merge"), "key")
+    first = F.coalesce(*(F.when(F.bit_count(block("hi", "lo", i).bitwiseXOR(block("q_hi", "q_lo", i))) <= t, F.lit(i)) for i, t in used))
+    near = (distance(("hi", "lo"), ("q_hi", "q_lo")) <= radius) & (F.shiftright("key", BLOCK) == first)
+    return found.where(near).select("q_hi", "q_lo", *all_.columns)
 
 
 def in_ranges(docs: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -157,7 +178,7 @@ def fingerprint_documents(docs: DataFrame, scratch, radius: int = RADIUS, query_
     rows = rows.join(begins, "_range", "left").withColumns({"n_hi": F.coalesce("n_hi", "b_hi"), "n_lo": F.coalesce("n_lo", "b_lo")})
     every = prints.groupBy("hi", "lo").agg(F.count("*").alias("times"))
     asked = prints.where(F.col("doc_id") % query_every == 0).select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")).distinct()
-    near = within(asked, every.select("hi", "lo"), radius).join(every, ["hi", "lo"]).groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(F.sum("times").alias("n_near"))
+    near = within(asked, every, radius).groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(F.sum("times").alias("n_near"))
     rows = rows.join(near, ["hi", "lo"], "left")
     like = lambda a, b: (1 - distance(("hi", "lo"), (a, b)) / F.lit(float(BITS))).cast("double")
     return rows.select(

@@ -153,3 +153,37 @@ def test_surrogates():
     p = pii.Permutation(b"k", "x", 97)
     assert sorted(map(p, range(97))) == list(range(97)) and all(p(i) != i for i in range(97))
     assert re.fullmatch(r"\+\d \(\d{3}\) \d{3}-\d{4}", pii.written("phone", "+1 (017) 555-7713", pii.surrogate("phone", "10175557713", b"k")))
+
+
+@pytest.mark.parametrize("radius", [3, 19, 23])
+def test_search_equals_brute_force(spark, radius):
+    import random
+
+    r = random.Random(radius)
+    prints = {r.getrandbits(128) for _ in range(40)}
+    for x in sorted(prints):
+        prints |= {x ^ sum(1 << b for b in r.sample(range(128), n)) for n in (1, radius - 1, radius, radius + 1)}
+    prints = sorted(prints)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    two = {(signed(x >> 64), signed(x & (1 << 64) - 1)): x for x in prints}
+    every = spark.createDataFrame([(*k, 1) for k in two], "hi long, lo long, times int")
+    asked = spark.createDataFrame([k for k, x in two.items() if x % 3], "q_hi long, q_lo long")
+    got = [(two[x.q_hi, x.q_lo], two[x.hi, x.lo]) for x in fingerprints.within(asked, every, radius).collect()]
+    want = [(q, x) for q in prints if q % 3 for x in prints if (q ^ x).bit_count() <= radius]
+    assert sorted(got) == sorted(want)
+
+
+def test_near_copies_are_counted(spark):
+    import random
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
+    base = [word() for _ in range(300)]
+    texts = [(0, " ".join(base)), (20, " ".join(word() for _ in range(300)))]
+    for i in range(1, 9):  # 8 words changed: 3-word Jaccard about 0.85
+        copy = list(base)
+        for at in r.sample(range(300), 8):
+            copy[at] = word()
+        texts.append((i, " ".join(copy)))
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(texts, "doc_id long, text string"), Scratch(spark)).collect()
+    assert {x.doc_id: x.n_near for x in got if x.n_near is not None} == {0: 9, 20: 1}
