@@ -174,7 +174,8 @@ def first_divergence(s, d):
 
 
 def parity_verdict(s, d):
-    return evaluate.verdict(_low(s, d), _low(s, d, modes=3), ["stream_id", "y", "x", "frame_id"])
+    p = event_pixels(s, d)
+    return evaluate.verdict(mixture.fold(p, Params(), LOW, snapshot=True), mixture.fold(p, Params(modes=3), LOW, snapshot=True), p)
 
 
 def queries():

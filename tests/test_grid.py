@@ -212,3 +212,46 @@ def test_seed_proofs(spark):
     assert evaluate.seeds(a, a, p).count() == 0
     assert len(a.first().w) == 5 and len(a.first().m) == 15
     evaluate.seeds(a, mixture.fold(p, Params(complexity=0.2), 0.2, snapshot=True), p).collect()
+
+
+def test_verdict(spark, monkeypatch):
+    frames, side = 3, 8
+    schema = "stream_id string, frame_id long, y int, x int, bg_prob float, n int"
+    at = [(i, y, x) for i in range(1, frames + 1) for y in range(side) for x in range(side)]
+    pixels = spark.createDataFrame([("s", *c, 10 * c[1], 20 * c[2], 7) for c in at], "stream_id string, frame_id long, y int, x int, c0 int, c1 int, c2 int")
+    on = {(i, y, x) for i, y, x in at if x <= 3 and (y, x) != (3, 3)}
+    seed = [("s", 2, 3, 2, True)]  # y, x, frame, proven
+    monkeypatch.setattr(evaluate, "seeds", lambda *_: spark.createDataFrame(seed, "stream_id string, y int, x int, frame_id long, proven boolean"))
+
+    def run(change, base=on):
+        a = {c: 0.1 if c in base else 0.9 for c in at}
+        two = [spark.createDataFrame([("s", *c, p, 1) for c, p in d.items()], schema) for d in (a, a | change)]
+        return evaluate.verdict(*two, pixels).first()
+
+    assert run({}).verdict == "IDENTICAL" and run({}).pixels == len(at)
+    assert run({}, set()).verdict == "DEGENERATE" and run({}, set(at)).verdict == "IDENTICAL"  # all foreground is some
+    late = run({(2, 2, 3): 0.9, (2, 4, 3): 0.9})  # one after its proven seed, one for no reason
+    assert (late.flips, late.cascaded, late.unexplained, late.verdict) == (2, 1, 1, "DIVERGED")
+    assert late.prefill_differ > 0 and late.refined_differ > 0 and late.composite_differ > 0 and not late.integer_fault
+    seed.append(("s", 4, 3, 2, True))
+    assert run({(2, 2, 3): 0.9, (2, 4, 3): 0.9}).verdict == "FLOAT-BOUNDARY"
+    assert run({(1, 2, 3): 0.9, (1, 4, 3): 0.9}).verdict == "DIVERGED"  # before their seeds
+    seed[1] = ("s", 4, 3, 2, False)
+    assert run({(2, 2, 3): 0.9, (2, 4, 3): 0.9}).verdict == "DIVERGED"
+
+
+def test_compare_frame_finds_faults():
+    import pandas as pd
+
+    y, x = np.indices((8, 9)).reshape(2, -1)
+    df = pd.DataFrame({"y": y, "x": x, "a": 0.9, "b": 0.9, "edge": False, "cascade": False, "real": True, "pre_a": 0, "pre_b": 0})
+    for i in range(3):
+        c = (37 * y + 11 * x * (i + 1)) % 256
+        df[f"c{i}"], df[f"s{i}"] = c, evaluate.blurred(c.reshape(8, 9)).ravel()
+    assert not evaluate.compare_frame(df).fault[0]
+    worse = df.copy()
+    worse.loc[5, "pre_b"] = 255  # masks differ, decisions don't
+    assert evaluate.compare_frame(worse).fault[0]
+    worse = df.copy()
+    worse.loc[5, "s1"] += 1
+    assert evaluate.compare_frame(worse).fault[0]
