@@ -155,8 +155,9 @@ def surrogate(kind: str, c: str, key: bytes, attempt: int = 0) -> str:
         gender, script, x = c.split("|", 2)
         parts = []
         for i, word in enumerate(x.split(" ")):
-            d = hashlib.blake2b(f"{c if i else gender + script + word}|{word}|{attempt}".encode(), key=key, digest_size=16).digest()
-            body = "".join(SYLLABLES[script][b % 16] for b in d[: 4 if i == 0 else 5])
+            # a syllable more on each attempt: however many names there are, the space outgrows them
+            d = hashlib.blake2b(f"{c if i else gender + script + word}|{word}|{attempt}".encode(), key=key, digest_size=16 if attempt < 12 else 64).digest()
+            body = "".join(SYLLABLES[script][b % 16] for b in d[: (4 if i == 0 else 5) + attempt])
             word_new = body + (ENDINGS[gender, script] if i == 0 else "")
             parts.append(word_new.upper() if word.isupper() else word_new.capitalize())
         return f"{gender}|{script}|{' '.join(parts)}"

@@ -187,3 +187,12 @@ def test_near_copies_are_counted(spark):
         texts.append((i, " ".join(copy)))
     got = fingerprints.fingerprint_documents(spark.createDataFrame(texts, "doc_id long, text string"), Scratch(spark)).collect()
     assert {x.doc_id: x.n_near for x in got if x.n_near is not None} == {0: 9, 20: 1}
+
+
+def test_more_names_than_short_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ("ba", "de") * 8})  # 16 of four syllables
+    names = [f"{a}{b}xyz" for a in "ABCDEFG" for b in "abcdef"]
+    texts = [(i, " and ".join(f"Mr {x}" for x in names[i::3])) for i in range(3)]
+    rows = pii.pseudonymize(spark.createDataFrame(texts, "doc_id long, text string"), b"k").collect()
+    new = [x for r in rows for x in re.findall(r"Mr (\w+)", r.text)]
+    assert len(new) == len(set(new)) == len(names) and not set(new) & set(names)
