@@ -39,7 +39,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = {t: k for k, ts in TITLES.items() for t in ts}
 FIND = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w.+%-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?<![A-Za-z])(?i:token|secret|passw(?:or)?d|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<secret>[A-Za-z0-9_\-]{12,512})"
+    r"|(?<![A-Za-z])(?i:token|secret|passw(?:or)?d|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z0-9_.~+/=\-]*?[A-Za-z0-9_+/=\-]{12})(?P<secret>[A-Za-z0-9_+/=\-]++(?:[.~]++[A-Za-z0-9_+/=\-]++)*+)"
     rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\6\d{4}\6\d{4})(?!\d))"
@@ -102,6 +102,8 @@ class Permutation:
         return self._walk((self._walk(x, False) + 1 + (step - 1) % (self.n - 1)) % self.n, True)
 
 
+#: Most characters that one permutation takes; its time grows with their square.
+PIECE = 512
 _CLASSES = [(ord("0"), 10), (ord("a"), 26), (ord("A"), 26), (0x430, 32), (0x410, 32)]
 
 
@@ -113,7 +115,11 @@ def layout(x: str, hexadecimal: bool = False) -> list[tuple[int, int]]:
 
 
 def permuted(x: str, key: bytes, label: str, step: int) -> str:
-    """Another string of the same layout."""
+    """Another string of the same layout. Long ones are permuted in pieces under a label of the
+    whole; that two come to share one is left to the check over the corpus."""
+    if len(x) > PIECE:
+        own = hashlib.blake2b(x.encode(), key=key, digest_size=16).hexdigest()
+        return "".join(permuted(x[i : i + PIECE], key, f"{label}|{own}|{i}", step) for i in range(0, len(x), PIECE))
     hexadecimal = len(x) >= 16 and all(c in "0123456789abcdef" for c in x) and not x.isdigit()
     own = layout(x, hexadecimal)
     number, n = 0, 1

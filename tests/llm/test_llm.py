@@ -196,3 +196,15 @@ def test_more_names_than_short_surrogates(spark, monkeypatch):
     rows = pii.pseudonymize(spark.createDataFrame(texts, "doc_id long, text string"), b"k").collect()
     new = [x for r in rows for x in re.findall(r"Mr (\w+)", r.text)]
     assert len(new) == len(set(new)) == len(names) and not set(new) & set(names)
+
+
+def test_whole_secrets(spark):
+    secrets = ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P", "wJalr/XUtnFEMI+K7MDENG/bPxRfiCY+EXAMPLEKEY==", "SG.ngeVfQFYQlKU0ufo.x5d1-2_q", "Zk9" * 700, "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"]
+    for x in secrets:
+        text = f"api_key: {x}. And so on"
+        assert [(k, c) for *_, k, c in pii.find(text)] == [("secret", x)]
+        new = pii.surrogate("secret", x, b"k")
+        assert len(new) == len(x) and not any(new[i : i + 12] == x[i : i + 12] for i in range(len(x) - 12))
+    row = pii.pseudonymize(spark.createDataFrame([(1, "token=" + secrets[3])], "doc_id long, text string"), b"k").first()
+    assert row.n_entities == 1 and row.text == "token=" + pii.surrogate("secret", secrets[3], b"k")
+    assert [*pii.find("token = self.tokenizer.encode(x)")] == []
