@@ -1,8 +1,9 @@
 """Licence notices and identifier tags by Aho-Corasick, with a parser of licence expressions.
 
 One automaton over a text's words, joined by single spaces, finds notice phrases and the tag
-words; what follows a tag in the raw text is read as an expression of identifiers joined by
-AND, OR and WITH and evaluated by a shunting-yard parser.
+words; what follows such a tag in the raw text, up to the end of its line or a sign that no
+expression holds, is read as an expression of identifiers joined by AND, OR and WITH and
+evaluated by a shunting-yard parser.
 """
 
 from __future__ import annotations
@@ -38,7 +39,10 @@ MORE_PHRASES = {
 }
 #: What a licence asks of those who use the text, from 1 (nothing much) down to 0 (no use).
 OPENNESS = {"mit": 1.0, "apache-2": 1.0, "bsd": 1.0, "cc-by": 0.9, "mpl": 0.7, "cc-by-sa": 0.6, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "all-rights-reserved": 0.0}
-TAG = re.compile(r"(?i)spdx-license-identifier\s*:\s*([A-Za-z0-9.+()\- \t]{1,400})")
+#: The words of an identifier tag, the first perhaps the end of a longer one; how the raw text spells them.
+TAG_WORDS = "spdx license identifier "
+TAG = re.compile(r"(?i)spdx-license-identifier\s*:\s*([A-Za-z0-9.+()\- \t]+)")
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+-]+")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 #: Bytes of words stay, A-Z lower-cased; all others become spaces.
@@ -112,10 +116,25 @@ def automaton(phrases: dict[str, tuple[str, bool]]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for phrase, (label, base) in phrases.items():
         a.add_word(f" {phrase} ", (phrase.count(" ") + 1, len(phrase) + 1, label, base))
+    a.add_word(TAG_WORDS, (3, len(TAG_WORDS) - 1, None, False))
     a.make_automaton()
     return a
 
 
+def expressions(text: str, line: str, tags: list[int]) -> Iterator[str]:
+    """What follows the tags that begin at places of the line of words, in order."""
+    raw = text.encode("utf-8", "surrogatepass")
+    spans, at, done, chars = WORD.finditer(raw), 0, 0, 0
+    for place in tags:
+        for _ in range(line.count(" ", at, place)):
+            word = next(spans)
+        at, start = place, word.end() - len("spdx")
+        chars += len(raw[done:start].decode("utf-8", "surrogatepass"))
+        done = start
+        if found := TAG.match(text, chars):
+            yield found[1]
+
+
 def scan_text(text: str, a: ahocorasick.Automaton) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score)"""
     words = text.encode("utf-8", "surrogatepass").translate(TABLE).split()
@@ -123,18 +142,21 @@ def scan_text(text: str, a: ahocorasick.Automaton) -> tuple:
     base: set[str] = set()
     labels: set[str] = set()
     places: list[int] = []
+    tags: list[int] = []
     for end, (_, length, label, is_base) in a.iter(line):
+        if label is None:
+            tags.append(end - length)
+            continue
         labels.add(label)
         if is_base:
             base.add(label)
             places.append(end - length)
     scores = [OPENNESS.get(x, 0.5) for x in labels]
-    if "spdx" in line:
-        for m in TAG.finditer(text):
-            if postfix := to_postfix(m[1]):
-                found, score = evaluate(postfix)
-                labels |= found
-                scores.append(score)
+    for expression in expressions(text, line, tags):
+        if postfix := to_postfix(expression):
+            found, score = evaluate(postfix)
+            labels |= found
+            scores.append(score)
     n_base = len(places)
     if n_base:
         first, last = line.count(" ", 0, min(places) + 1) - 1, line.count(" ", 0, max(places) + 1) - 1

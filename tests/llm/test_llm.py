@@ -208,3 +208,13 @@ def test_whole_secrets(spark):
     row = pii.pseudonymize(spark.createDataFrame([(1, "token=" + secrets[3])], "doc_id long, text string"), b"k").first()
     assert row.n_entities == 1 and row.text == "token=" + pii.surrogate("secret", secrets[3], b"k")
     assert [*pii.find("token = self.tokenizer.encode(x)")] == []
+
+
+def test_license_tags_come_from_the_automaton():
+    a = license_scan.automaton({p: (x, True) for p, x in license_scan.BASE_PHRASES.items()})
+    assert license_scan.TAG_WORDS in a
+    long = "é\U0001f600 SPDX-License-Identifier: " + " OR ".join(["MIT"] * 100 + ["MPL-2.0"]) + "\nor GPL-2.0"
+    assert license_scan.scan_text(long, a)[5] == "mit,mpl"  # beyond 400 characters, not beyond the line
+    two = "spdx license identifier: ISC \\nSPDX-License-Identifier: (BSD-3-Clause AND GPL-2.0-only) */\n# spdx-license-identifier:MIT-0 or"
+    assert license_scan.scan_text(two, a)[5] == "bsd,gpl,mit"
+    assert license_scan.scan_text("spdx-license-identifier", a)[5] == ""
