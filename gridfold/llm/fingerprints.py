@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import whole_text
+from gridfold.llm.common import release, whole_text
 
 BITS = 128
 #: Largest weight of a term, and terms whose votes share a sum: their product is below 2^21.
@@ -172,6 +172,7 @@ def fingerprint_documents(docs: DataFrame, scratch, radius: int = RADIUS, query_
     many rows, itself included, have a fingerprint within `radius` bits; null for other ids."""
     prints, last = edited_prints(docs)
     prints = scratch.put(prints, "prints")
+    release(scratch.spark)  # the texts' shuffle files, held until `prints` was bound anew
     order = "PARTITION BY _range ORDER BY _n"
     rows = prints.select("*", *(F.expr(f"lead({c}) OVER ({order})").alias(f"n_{c}") for c in ("hi", "lo")))
     begins = prints.where("_n = 1").select(F.when(F.col("_range") == 0, last).otherwise(F.col("_range") - 1).alias("_range"), F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"))
