@@ -101,7 +101,10 @@ class Lines:
         rest = 43 - BUCKET_BITS
         value = ranks[(h & U(BUCKETS - 1)).astype(np.int64)].astype(U) << U(rest) | (h >> U(BUCKET_BITS)) & U((1 << rest) - 1)
         # one sort puts the words of each line in the global order, rarest first
-        order = np.argsort(line.astype(U) << bits | value)
+        if begins.sum() <= 1 << 21:
+            order = np.argsort(line.astype(U) << bits | value)
+        else:  # line numbers don't fit beside the value
+            order = np.lexsort((value, line))
         line, h, value = line[order], h[order], value[order]
         keep = np.ones(len(h), bool)
         keep[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])

@@ -218,3 +218,11 @@ def test_license_tags_come_from_the_automaton():
     two = "spdx license identifier: ISC \\nSPDX-License-Identifier: (BSD-3-Clause AND GPL-2.0-only) */\n# spdx-license-identifier:MIT-0 or"
     assert license_scan.scan_text(two, a)[5] == "bsd,gpl,mit"
     assert license_scan.scan_text("spdx-license-identifier", a)[5] == ""
+
+
+def test_lines_beyond_two_million():
+    import numpy as np
+
+    data = np.frombuffer(b"a b c d" + b"\n" * (1 << 21) + b"e f g h", np.uint8)
+    lines = line_dedup.Lines(data, np.array([0, len(data)]), np.arange(line_dedup.BUCKETS, dtype=np.uint32))
+    assert lines.size.tolist() == [4, 4] and lines.number.tolist() == [0, 1 << 21]
