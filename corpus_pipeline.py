@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing_stage),
 ]
 
-#: The classifier, the tokenizer and the tilings are beyond SQL; the tests hold the pipeline against brute force.
+#: The classifier, the tokenizer and the tilings are beyond SQL; no test runs the pipeline as a whole.
 ORACLE_SQL = None
 
 
