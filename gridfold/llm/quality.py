@@ -68,6 +68,7 @@ class Model:
     labels: np.ndarray  # sample
     neighbours: int
     prior: float
+    votes: np.ndarray  # sample: rows of its class for each one sampled
 
     def matrix(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return weigh(bags, self.weights)
@@ -79,7 +80,7 @@ class Model:
         near = x @ self.vectors.T
         k = min(self.neighbours, near.shape[1])
         top = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-        w = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** 4
+        w = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** 4 * self.votes[top]
         total = w.sum(1)
         return np.where(total > 1e-12, np.round((w * self.labels[top]).sum(1) / np.maximum(total, 1e-12), 9), self.prior)
 
@@ -100,11 +101,11 @@ def weigh(bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndar
     return x
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS, per_class: tuple[float, float] = (1.0, 1.0)) -> Model:
     """TF-IDF weights and the leading right singular vectors by subspace iteration."""
-    n = len(bags)
+    n, votes = len(bags), np.where(labels == 1, per_class[1], per_class[0])
     if not n:
-        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, neighbours, 0.5)
+        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, neighbours, 0.5, votes)
     df = np.bincount(np.concatenate([k for k, _ in bags]), minlength=TERMS)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 0.1
     x = weigh(bags, idf)
@@ -114,7 +115,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
     axes = (q @ vt.T)[:, :rank].astype(np.float32)
-    return Model(idf, axes, unit(x @ axes).astype(np.float32), labels, neighbours, float(labels.mean()))
+    return Model(idf, axes, unit(x @ axes).astype(np.float32), labels, neighbours, float(np.average(labels, weights=votes)), votes)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -125,7 +126,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most `sample` rows of both classes, chosen by a hash of the id.
 
-    Each class gets half of the sample, or what the other leaves. Held-out ids, null labels
+    Each class gets half of the sample, or what the other leaves; votes are weighted back to the
+    classes' shares among all labels, whatever the sample's mix. Held-out ids, null labels
     and null ids are left out; of repeated ids one label (the smallest) and one text count.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -135,6 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = {q: [r[0] for r in part.select("doc_id").collect()] for q, part in enumerate(few)}
     n0 = min(len(ids[0]), max(sample // 2, sample - len(ids[1])))
     chosen = [(i, q) for q, n in ((0, n0), (1, sample - n0)) for i in ids[q][:n]]
+    total = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
+    taken = {q: sum(x == q for _, x in chosen) for q in (0, 1)}
+    per_class = tuple(total.get(q, 0) / max(taken[q], 1) for q in (0, 1))
     if not chosen:
         return fit([], np.zeros(0))
     spark = docs.sparkSession
@@ -149,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("q", T.IntegerType()), T.StructField("k", T.BinaryType()), T.StructField("v", T.BinaryType())])
     got = {r[0]: r for r in sorted(rows.mapInArrow(bags, schema).collect(), key=lambda r: (r[0], bytes(r[2]), bytes(r[3])))}
     got = [got[i] for i in sorted(got)]
-    return fit([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], np.array([r[1] for r in got], np.float64))
+    return fit([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], np.array([r[1] for r in got], np.float64), per_class=per_class)
 
 
 def score_quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, block: int = 256) -> DataFrame:

@@ -226,3 +226,13 @@ def test_lines_beyond_two_million():
     data = np.frombuffer(b"a b c d" + b"\n" * (1 << 21) + b"e f g h", np.uint8)
     lines = line_dedup.Lines(data, np.array([0, len(data)]), np.arange(line_dedup.BUCKETS, dtype=np.uint32))
     assert lines.size.tolist() == [4, 4] and lines.number.tolist() == [0, 1 << 21]
+
+
+def test_votes_keep_the_mix_of_all_labels(spark):
+    rows = [(i, "same words here") for i in range(200)]
+    labels = [(i, int(i % 10 > 0)) for i in range(200)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)
+    few = quality.train(docs, labels, 16)  # half of each class; 9 in 10 of all are good
+    bag = [quality.terms_of("same words here")]
+    share = labels.where(~quality.held_out(labels.doc_id)).agg({"quality": "avg"}).first()[0]
+    assert abs(few.scores(bag)[0] - share) < 0.2 and abs(few.prior - share) < 1e-6
