@@ -9,6 +9,7 @@ batch drawn from one bucket has no padding.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,13 +23,17 @@ from gridfold.llm.common import whole_text
 FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 #: Rows of an output batch, so that a very long document doesn't make a very large one.
 ROWS = 20_000
+#: A run of white space on which the faster library's pattern may exceed its stack.
+BLANK = 10_000
+BLANKS = re.compile(rf"(?<!\s)\s{{{BLANK}}}")
 
 
 def load_encoder(path: str):
     """A function from a text to its ids, as the vocabulary file's own library gives them.
 
     For a byte-level BPE in .json form with ranks beside it (.tiktoken) the faster library is
-    used; both hold the same vocabulary and give the same ids (checked in the tests).
+    used; both hold the same vocabulary and give the same ids (checked in the tests). Texts
+    with very long runs of white space, which it can't split, go through the other.
     """
     import os
 
@@ -40,11 +45,14 @@ def load_encoder(path: str):
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        special = {t.content: i for i, t in Tokenizer.from_file(path).get_added_tokens_decoder().items()}
+        own = Tokenizer.from_file(path)
+        special = {t.content: i for i, t in own.get_added_tokens_decoder().items()}
         enc = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
         marks = list(special)
 
         def encode(text: str) -> list[int]:
+            if len(text) >= BLANK and BLANKS.search(text):
+                return own.encode(text, add_special_tokens=False).ids
             if any(m in text for m in marks):
                 return enc.encode(text, allowed_special="all")
             return enc.encode_ordinary(text)
@@ -71,7 +79,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, keep: tuple[str, ...] =
     """One row per piece: the columns `keep`, those of FIELDS, and `ids` if asked for.
 
     Null and empty texts have the one id `end_id` and so one piece of length 1. Repeated rows
-    are packed each into sequences of their own. `sequence_id` is the task's number and a
+    are packed each into sequences of their own; a text of any length is encoded as a whole.
+    Extra columns are ignored unless kept. `sequence_id` is the task's number and a
     counter within it: unique in the result, and the same again if a lost task is run anew on
     the same input split.
     """
