@@ -29,6 +29,8 @@ from gridfold.llm.common import whole_text
 SAMPLE = 4096
 RANK = 48
 NEIGHBOURS = 25
+#: Cosines that differ by less are equal: they may be rounded otherwise in another block.
+TIE = 1e-5
 THRESHOLD = 0.7
 WORD_TERMS, SHAPE_TERMS = 2048, 1024
 TERMS = WORD_TERMS + SHAPE_TERMS
@@ -46,7 +48,7 @@ def terms_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     for w, n in Counter(words).items():
         found[zlib.crc32(w.lower()) % WORD_TERMS] += n
     for w, n in Counter(raw.translate(CLASSES).split()).items():
-        s = RUNS.sub(rb"\1\1", w) if len(w) < 200 else w[:1] + b"long"
+        s = RUNS.sub(rb"\1\1", w)
         s = s.replace(b"aa", b"a").replace(b"AA", b"A")
         found[WORD_TERMS + zlib.crc32(b"s" + s) % SHAPE_TERMS] += n
     if words:
@@ -79,10 +81,13 @@ class Model:
         x = unit(self.matrix(bags) @ self.axes)
         near = x @ self.vectors.T
         k = min(self.neighbours, near.shape[1])
-        top = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-        w = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** 4 * self.votes[top]
-        total = w.sum(1)
-        return np.where(total > 1e-12, np.round((w * self.labels[top]).sum(1) / np.maximum(total, 1e-12), 9), self.prior)
+        # all that are as near as the last neighbour vote: no tie is broken by places
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+        w = np.where(near >= last - TIE, np.maximum(near, 0), 0)
+        w *= w
+        w *= w
+        total = w @ self.votes
+        return np.where(total > 1e-12, np.round(w @ (self.votes * self.labels) / np.maximum(total, 1e-12), 6), self.prior)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -160,8 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score_quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, block: int = 256) -> DataFrame:
     """One row per row of `docs`: the columns `keep`, score (0 to 1) and predicted (0 or 1).
 
-    Null and empty texts are scored as the empty bag. Without any labelled row the score is
-    0.5. Documents are never shuffled; `block` of them meet the labelled vectors at a time.
+    Null and empty texts are scored as the empty bag, very long ones by all their words. Without
+    any labelled row the score is 0.5. Of neighbours as near as the last one all vote, so equal
+    texts and repeated rows score alike. Extra columns are ignored unless kept. Documents are
+    never shuffled; `block` of them meet the labelled vectors at a time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
