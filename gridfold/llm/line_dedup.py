@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridfold.llm import textvec as V
-from gridfold.llm.common import Scratch, whole_text
+from gridfold.llm.common import Scratch, spread_join, unused, whole_text
 from gridfold.llm.textvec import U
 
 #: Jaccard threshold 4/5.
@@ -444,7 +444,9 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN, scratch: Scr
         .where((F.col("times") > 1) | (F.col("near") < F.col("place")))
         .select("k1", "k2", F.least("place", F.coalesce("near", "place")).alias("earliest"))
     )
-    gone = lines.select("k1", "k2", "doc_id", "line").join(first, ["k1", "k2"]).where(place > F.col("earliest"))
+    total = sets.agg(F.sum("times")).first()[0] or 0
+    often = sets.select("k1", "k2", F.col("times").alias("_n"))
+    gone = spread_join(lines.select("k1", "k2", "doc_id", "line"), first, ["k1", "k2"], often, total).where(place > F.col("earliest"))
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")).select(F.col("doc_id.id").alias("doc_id"), "lines")
 
 
@@ -454,10 +456,12 @@ def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, scratch: Scratc
     Lines end at a line feed. Lines without words always stay. Null and empty texts have one
     empty line and come back as they are. Lines are ordered by (doc_id, line number), null ids
     first; rows of one doc_id tie, so a line goes from all of them or from none at its place,
-    and repeated rows don't remove each other. Columns named n_lines and n_removed are replaced.
+    and repeated rows don't remove each other. Columns named n_lines and n_removed are replaced,
+    others of any name stay. Lines of any length are compared as whole sets.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = repeated_lines(docs, num, den, scratch).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_gone"))
+    of, which = unused(docs, "_id", "_gone")
+    gone = repeated_lines(docs, num, den, scratch).select(F.col("doc_id").alias(of), F.col("lines").alias(which))
     names = docs.columns
     at = names.index("text")
     schema = T.StructType([*docs.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -481,5 +485,5 @@ def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, scratch: Scratc
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], schema.names)
 
-    same: Column = docs["doc_id"].eqNullSafe(gone["_id"])
-    return docs.join(gone, same, "left").select(*(docs[c] for c in names), gone["_gone"]).mapInArrow(cut, schema)
+    same: Column = docs["doc_id"].eqNullSafe(gone[of])
+    return docs.join(gone, same, "left").select(*(docs[c] for c in names), gone[which]).mapInArrow(cut, schema)
