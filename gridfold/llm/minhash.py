@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.llm import textvec as V
-from gridfold.llm.common import Scratch, whole_text
+from gridfold.llm.common import GROUP, MANY, Scratch, spread_join, whole_text
 from gridfold.llm.line_dedup import _int64, marked, marks_of
 from gridfold.llm.textvec import U
 
@@ -67,7 +67,14 @@ def least_matches(threshold: float, miss: float, upto: int, batch: int) -> list[
     return out
 
 
-def nodes_of(docs: DataFrame, k: int) -> DataFrame:
+def key_of(s: np.ndarray, bits: int) -> tuple[int, int]:
+    """The key of a set; its first half of so many bits."""
+    with np.errstate(over="ignore"):
+        one, two = V.mix(s, 0x51ED270B).sum(dtype=U), V.mix(s, 0x3C6EF372).sum(dtype=U)
+    return int((one >> U(64 - bits)).view(np.int64)), int(two.view(np.int64))
+
+
+def nodes_of(docs: DataFrame, k: int, key_bits: int = 64) -> DataFrame:
     """A row for each document: doc_id, n_shingles, key of the set (k1, k2), band keys, and 16
     bits of each value of the signature."""
     a, b = permutations(BANDS * ROWS)
@@ -79,8 +86,7 @@ def nodes_of(docs: DataFrame, k: int) -> DataFrame:
             for i, j in V.chunks(off):
                 for s in V.shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], k):
                     n.append(len(s))
-                    with np.errstate(over="ignore"):
-                        keys.append((V.mix(s, 0x51ED270B).sum(dtype=U), V.mix(s, 0x3C6EF372).sum(dtype=U)))
+                    keys.append(key_of(s, key_bits))
                     if not len(s):
                         bands.append(None)
                         bits.append(None)
@@ -92,7 +98,7 @@ def nodes_of(docs: DataFrame, k: int) -> DataFrame:
                             band = V.mix(band * U(0x9E3779B97F4A7C15) + c.astype(U))
                     bands.append(band.tobytes())
                     bits.append((sig & 0xFFFF).astype(np.uint16).tobytes())
-            k12 = np.array(keys, U).reshape(-1, 2)
+            k12 = np.array(keys, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n, pa.int64()), _int64(k12[:, 0]), _int64(k12[:, 1]), pa.array(bands, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "bands", "bits"])
 
     return docs.select("doc_id", whole_text(docs).alias("_text")).mapInArrow(V.lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, k1 long, k2 long, bands binary, bits binary")
@@ -143,8 +149,9 @@ def connect(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 class Matcher:
     """Candidates of one corpus: Bayesian pruning, confirmation on full sets, components."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int, miss: float, scratch: Scratch):
+    def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int, miss: float, scratch: Scratch, key_bits: int = 64, clash: dict[tuple[int, int], int] | None = None):
         self.docs, self.nodes, self.k, self.percent, self.miss, self.scratch = docs, nodes, k, percent, miss, scratch
+        self.key_bits, self.clash = key_bits, clash or {}
         self.turn, self.links = 0, None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -164,12 +171,17 @@ class Matcher:
 
         one = self.nodes.select(F.col("node").alias("a"), F.col("bits").alias("x"))
         two = self.nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"))
-        return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(V.lean(prune), "a long, b long, matches long")
+        pairs = pairs.join(two, "b")
+        return self.led(pairs, one).select("a", "b", "x", "y").mapInArrow(V.lean(prune), "a long, b long, matches long")
+
+    def led(self, pairs: DataFrame, one: DataFrame) -> DataFrame:
+        """`pairs` with what `one` knows of their leaders a, of which each may lead very many."""
+        return spread_join(pairs, one, ["a"], self.leads, self.n_pairs)
 
     def full_sets(self, wanted: DataFrame) -> DataFrame:
         """(node, s): the sorted shingle hashes of the nodes `wanted`, from a pass over the
         documents that skips those whose ids aren't marked."""
-        spark, k = self.docs.sparkSession, self.k
+        spark, k, key_bits, clash = self.docs.sparkSession, self.k, self.key_bits, self.clash
         rows = self.scratch.put(wanted.join(self.nodes.select("node", "doc_id"), "node"), f"wanted-{self.turn}")
         in_docs = spark.sparkContext.broadcast(marks_of(rows.select(F.xxhash64("doc_id"))))
         in_nodes = spark.sparkContext.broadcast(marks_of(rows.select("node")))
@@ -181,10 +193,10 @@ class Matcher:
                 found: dict[int, bytes] = {}
                 for i, j in V.chunks(off):
                     for s in V.shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], k):
-                        with np.errstate(over="ignore"):
-                            key = V.mix(s, 0x51ED270B).sum(dtype=U).view(np.int64)
-                        if len(s) and marked(key.reshape(1), in_nodes.value)[0]:
-                            found[int(key)] = s.tobytes()
+                        key = key_of(s, key_bits)
+                        key = clash.get(key, key[0])
+                        if len(s) and marked(np.array([key]), in_nodes.value)[0]:
+                            found[key] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "s"])
 
         full = self.docs.select(F.xxhash64("doc_id"), whole_text(self.docs)).mapInArrow(V.lean(sets), "node long, s binary").join(rows.select("node"), "node", "left_semi").dropDuplicates(["node"])
@@ -209,7 +221,7 @@ class Matcher:
 
         one = full.select(F.col("node").alias("a"), F.col("s").alias("x"))
         two = full.select(F.col("node").alias("b"), F.col("s").alias("y"))
-        found = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(V.lean(verify), "u long, v long")
+        found = self.led(pairs.select("a", "b").join(two, "b"), one).select("a", "b", "x", "y").mapInArrow(V.lean(verify), "u long, v long")
         found = self.scratch.put(found, f"found-{self.turn}")
         self.scratch.drop(f"sets-{self.turn}")
         self.turn += 1
@@ -226,6 +238,10 @@ class Matcher:
 
     def match(self, pairs: DataFrame) -> None:
         """Confirm the likeliest pair of each node, then whatever may still join components."""
+        pairs = self.scratch.put(pairs, f"pairs-{self.turn}")
+        self.n_pairs = pairs.count()
+        most = max(GROUP, self.n_pairs // MANY)
+        self.leads = self.scratch.put(pairs.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") > most), f"leads-{self.turn}")
         likely = self.scratch.put(self.likely(pairs), f"likely-{self.turn}")
         best = likely.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
         self.add(self.confirmed(best))
@@ -308,7 +324,7 @@ class Matcher:
         return met
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, scratch: Scratch | None = None, key_bits: int = 64) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
     Words are runs without ASCII white space, A-Z as a-z; sets hold the distinct runs of `k`
@@ -316,28 +332,50 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     smallest doc_id reachable, kept whether it is the document's own. Null, empty and blank
     texts have no shingles, no links and their own id; null ids keep a null component unless
     linked to others. Repeated rows are one node, and all of one id are kept or not together.
+    Shingles are 64-bit hashes and sets are told apart by 64 + `key_bits` bits; where two share
+    the first `key_bits` (of 2^34 sets about ten do; tests take fewer), one gets another number.
+    Extra columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    table = scratch.put(nodes_of(docs, k), "nodes")
+    table = scratch.put(nodes_of(docs, k, key_bits), "nodes")
     full = table.where("n_shingles > 0")
-    # one row for each set: its smallest id stands for it, and its key is the node
-    nodes = full.groupBy(F.col("k1").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"), F.min("bits").alias("bits"))
-    nodes = scratch.put(nodes, "sets")
+    # one row for each set: its smallest id stands for it, and the first half of its key is the node
+    nodes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"), F.min("bits").alias("bits"), F.count("*").alias("times"))
+    nodes = scratch.put(nodes, "keyed")
+    shared = nodes.groupBy("k1").agg(F.count("*").alias("n"), F.min("k2").alias("low")).where("n > 1")
+    shared = nodes.select("k1", "k2").join(shared, "k1").where("k2 <> low").select("k1", "k2").orderBy("k1", "k2").collect()
+    clash = {(r.k1, r.k2): int(V.mix(np.array([r.k1, r.k2], np.int64).view(U), i).sum(dtype=U).view(np.int64)) for i, r in enumerate(shared)}
+    if clash:
+        other = F.broadcast(docs.sparkSession.createDataFrame([(*x, y) for x, y in clash.items()], "k1 long, k2 long, other long"))
+        numbered = lambda df: df.join(other, ["k1", "k2"], "left").withColumn("node", F.coalesce("other", "k1"))
+    else:
+        numbered = lambda df: df.withColumn("node", F.col("k1"))
+    nodes = numbered(nodes).select("node", "doc_id", "bands", "bits", "times")
     buckets = scratch.put(buckets_of(nodes), "buckets")
-    matcher = Matcher(docs, nodes, k, percent, miss, scratch)
-    lead = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("bucket", "a")
-    stars = buckets.join(lead, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    matcher = Matcher(docs, nodes, k, percent, miss, scratch, key_bits, clash)
+    lead = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("_n")).where("a <> z")
+    lead = scratch.put(lead, "lead")
+    total = lead.agg(F.sum("_n")).first()[0] or 0
+    stars = spread_join(buckets, lead.select("bucket", "a"), ["bucket"], lead, total).where("node <> a").select("a", F.col("node").alias("b")).distinct()
     matcher.match(stars)
     # nodes of one bucket that no link has joined
     held = buckets.join(matcher.roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = scratch.put(held.join(mixed, "bucket"), "open")
+    held = scratch.put(held, "held")
+    mixed = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("_n")).where("lo <> hi")
+    mixed = scratch.put(mixed, "mixed")
+    open_ = scratch.put(spread_join(held, mixed.select("bucket"), ["bucket"], mixed, total), "open")
+    scratch.drop("held")
     if open_.head(1):
         matcher.add(matcher.across(open_))
-    smallest = nodes.select("node", "doc_id").join(matcher.roots, "node").groupBy("root").agg(F.min("doc_id").alias("low"))
-    of = matcher.roots.join(smallest, "root").select("node", "low")
+    smallest = nodes.select("node", "doc_id").join(matcher.roots, "node").groupBy("root").agg(F.min("doc_id").alias("low"), F.count("*").alias("_n"))
+    smallest = scratch.put(smallest, "smallest")
+    n_nodes = nodes.count()
+    of = spread_join(matcher.roots, smallest.select("root", "low"), ["root"], smallest, n_nodes).select("node", "low")
     known = nodes.select("node", "doc_id").join(of, "node", "left").select("node", F.coalesce("low", "doc_id").alias("component_id"))
-    out = table.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("node")).join(known, "node", "left")
+    rows = numbered(table.where("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2")).select("doc_id", "n_shingles", "node")
+    out = spread_join(rows, known, ["node"], nodes.select("node", F.col("times").alias("_n")), table.count())
+    none = table.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", "component_id").union(none)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
