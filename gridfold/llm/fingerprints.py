@@ -27,8 +27,9 @@ LANES, LANE = 3, 21
 RADIUS = 23
 #: Bits of a block, the key of a table.
 BLOCK = 16
-#: Rows of a range of ids at least, and ranges at most.
-RANGE_ROWS, RANGES = 2048, 2000
+#: Rows of a range of ids, and ranges at most: their bounds are 8 MB then, and beyond 2^31 rows
+#: ranges grow (a task sorts a range on disk if need be).
+RANGE_ROWS, RANGES = 2048, 1 << 20
 
 
 def votes(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -129,8 +130,15 @@ def in_ranges(docs: DataFrame) -> tuple[DataFrame, list[int]]:
     parts = max(1, min(RANGES, n // RANGE_ROWS))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
     bounds = sorted({low, *cuts})
-    known = F.array(*(F.lit(x).cast("long") for x in bounds[1:])).cast("array<bigint>")
-    return docs.withColumn("_range", F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(known, lambda x: x <= F.col("doc_id"))))), bounds
+    # the number of bounds up to an id, by binary search: a step for each bit of the answer
+    known = F.from_json(F.lit(str([-(1 << 63), *bounds[1:]])), "array<bigint>")
+    bits = [1 << i for i in reversed(range((len(bounds)).bit_length()))]
+    at = F.aggregate(
+        F.array(*map(F.lit, bits)),
+        F.lit(0),
+        lambda low, step: F.when((low + step < len(bounds)) & (F.get(known, low + step) <= F.col("doc_id")), low + step).otherwise(low),
+    )
+    return docs.withColumn("_range", F.when(F.col("doc_id").isNull(), 0).otherwise(at)), bounds
 
 
 def edited_prints(docs: DataFrame) -> tuple[DataFrame, int]:
