@@ -1,18 +1,25 @@
 """Personal data replaced by keyed surrogates of the same kind and format.
 
-An entity (mail address, phone or card number, IP address, secret, name after a title) is
-brought to a canonical form, so that all ways of writing it share one surrogate. The surrogate
-comes from a keyed permutation of all strings of the same layout (letters stay letters of
-their case and script, digits digits, the card check digit keeps its validity; names keep
-their gender and script), so different entities of a layout can't share one. What a
-permutation can't rule out is checked over the whole corpus: a surrogate that is itself an
-entity somewhere, or that two entities share, is drawn again until none is left.
+An entity (mail address, phone, card, account or social security number, IP address, secret,
+name) is brought to a canonical form, so that all ways of writing it share one surrogate: a
+phone number is its last ten digits, what stands before them is a country's code and stays. The
+surrogate comes from a keyed permutation of all strings of the same layout (letters stay letters
+of their case and script, digits digits, check digits keep their validity), so different entities
+of a layout can't share one.
+
+Names begin after a title. Each of their words has a surrogate of its own, by its script, case
+and, for given names, the title's gender, so a full name and a short one still belong together;
+the words of a text's names are replaced wherever they stand in that text, with a title or
+without. What a permutation or a draw can't rule out is checked over the whole corpus: a
+surrogate that is itself an entity somewhere, or that two entities share, is drawn again until
+none is left.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,40 +41,84 @@ SYLLABLES = {
     "latin": ("ba", "de", "fi", "go", "la", "me", "ni", "ro", "sa", "te", "vi", "zo", "ka", "lu", "ma", "pe"),
     "cyrillic": ("ба", "де", "фи", "го", "ла", "ме", "ни", "ро", "са", "те", "ви", "зо", "ка", "лу", "ма", "пе"),
 }
-ENDINGS = {("m", "latin"): "n", ("f", "latin"): "lia", ("n", "latin"): "r", ("m", "cyrillic"): "н", ("f", "cyrillic"): "ва"}
+#: Endings of given names by gender, and of family names (of women where the script tells).
+ENDINGS = {
+    "latin": {"m": "n", "f": "lia", "n": "r", "family": "s", "family of a woman": "s"},
+    "cyrillic": {"m": "н", "f": "ва", "n": "р", "family": "ов", "family of a woman": "ова"},
+}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: A capitalised word, perhaps of several parts, of any length.
+_WORD = r"[^\W\d_a-zà-ÿа-я](?:[^\W\d_]|['’-](?!s\b)(?=[^\W\d_]))++"
+WORD, PART = re.compile(_WORD), re.compile(r"(['’-])")
 _TITLE = {t: k for k, ts in TITLES.items() for t in ts}
 FIND = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w.+%-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?<![A-Za-z])(?i:token|secret|passw(?:or)?d|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z0-9_.~+/=\-]*?[A-Za-z0-9_+/=\-]{12})(?P<secret>[A-Za-z0-9_+/=\-]++(?:[.~]++[A-Za-z0-9_+/=\-]++)*+)"
     rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\6\d{4}\6\d{4})(?!\d))"
-    r"|(?<!\w)(?P<title>" + "|".join(map(re.escape, sorted(_TITLE, key=len, reverse=True))) + r")\.?\x20(?P<name>[^\W\d_a-zà-ÿа-я][^\W\d_]{1,30}(?:\x20[^\W\d_a-zà-ÿа-я][^\W\d_]{1,30})?)"
+    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9]))"
+    r"|(?P<ssn>(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-]))"
+    r"|(?P<card>(?<![\d.])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4})(?!\d))"
+    r"|(?<!\w)(?P<title>" + "|".join(map(re.escape, sorted(_TITLE, key=len, reverse=True))) + r")\.?\x20(?:[A-ZА-Я]\.\x20?)*+(?P<name>" + _WORD + r"(?:\x20" + _WORD + r")*+)"
 )
 #: A text without any of these holds no entity.
 HINT = re.compile(r"[@\d]|(?i:secret|token|passw|key)|" + "|".join(map(re.escape, _TITLE)))
-KINDS = ("email", "secret", "ip", "phone", "card", "name")
+KINDS = ("email", "secret", "ip", "phone", "iban", "ssn", "card", "name")
 FIELDS = "n_entities long, kinds string, text string"
 
 
 def find(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) of the entities of a text, left to right."""
+    """(start, end, kind, canonical form) of the entities of a text, left to right; each word of
+    a name is one."""
     if not HINT.search(text):
         return
+    found, roles, titled = [], {}, []
     for m in FIND.finditer(text):
         kind = next(k for k in KINDS if m[k] is not None)
         x = m[kind]
-        if kind in ("phone", "card"):
-            c = re.sub(r"\D", "", x)
-        elif kind == "email":
-            c = x.lower()
-        elif kind == "name":
-            gender, script = _TITLE[m["title"]]
-            c = f"{gender}|{script}|{x}"
+        if kind == "name":
+            words = [(m.start(kind) + w.start(), w[0]) for w in WORD.finditer(x)]
+            gender = _TITLE[m["title"]][0]
+            for i, (at, w) in enumerate(words):
+                given = i == 0 and len(words) > 1
+                titled.append((at, w))
+                # what a full name tells of a word counts more than a family name's title
+                if given and roles.get(w.lower(), "n") not in ("m", "f"):
+                    roles[w.lower()] = gender
+                elif not given:
+                    roles.setdefault(w.lower(), "family")
+        elif kind == "iban":
+            c = x.replace(" ", "")
+            if remainder(c) == 1:
+                found.append((*m.span(kind), kind, c))
         else:
-            c = x
-        yield *m.span(kind), kind, c
+            c = x.lower() if kind == "email" else re.sub(r"\D", "", x) if kind in ("phone", "card", "ssn") else x
+            found.append((*m.span(kind), kind, c[-10:] if kind == "phone" else c))
+    if roles:
+        places = dict(titled)
+        begins = [f[0] for f in found]
+        for w in WORD.finditer(text):
+            if w[0].lower() in roles:
+                i = bisect_left(begins, w.end())  # the entities before it don't overlap
+                if not i or found[i - 1][1] <= w.start():
+                    places.setdefault(w.start(), w[0])
+        found += [(at, at + len(w), "name", named(w, roles[w.lower()])) for at, w in places.items()]
+        found.sort()
+    yield from found
+
+
+def named(word: str, role: str) -> str:
+    """The canonical form of a word of a name: script, role and the word, without its case."""
+    w = word.lower()
+    script = "cyrillic" if any("а" <= c <= "я" or c == "ё" for c in w) else "latin"
+    if role == "family" and script == "cyrillic" and w[-1] in "ая":
+        role = "family of a woman"
+    return f"{script}|{role}|{w}"
+
+
+def remainder(iban: str) -> int:
+    """Modulo 97 of an account number, 1 for a valid one."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
 class Permutation:
@@ -158,25 +209,36 @@ def surrogate(kind: str, c: str, key: bytes, attempt: int = 0) -> str:
         off = (int(c[-1]) - luhn(c[:-1] + "0") * 9) % 10
         return body + str((luhn(body + "0") * 9 + off) % 10)
     if kind == "name":
-        gender, script, x = c.split("|", 2)
-        parts = []
-        for i, word in enumerate(x.split(" ")):
+        script, role, x = c.split("|", 2)
+        parts = PART.split(x)
+        for i in range(0, len(parts), 2):
             # a syllable more on each attempt: however many names there are, the space outgrows them
-            d = hashlib.blake2b(f"{c if i else gender + script + word}|{word}|{attempt}".encode(), key=key, digest_size=16 if attempt < 12 else 64).digest()
-            body = "".join(SYLLABLES[script][b % 16] for b in d[: (4 if i == 0 else 5) + attempt])
-            word_new = body + (ENDINGS[gender, script] if i == 0 else "")
-            parts.append(word_new.upper() if word.isupper() else word_new.capitalize())
-        return f"{gender}|{script}|{' '.join(parts)}"
+            d = hashlib.blake2b(f"{c}|{i}|{attempt}".encode(), key=key, digest_size=16 if attempt < 12 else 64).digest()
+            parts[i] = "".join(SYLLABLES[script][b % 16] for b in d[: 4 + attempt])
+        return f"{script}|{role}|{''.join(parts)}{ENDINGS[script][role]}"
+    if kind == "iban":
+        body = permuted(c[4:], key, f"{kind}{c[:2]}", step)
+        return f"{c[:2]}{98 - remainder(c[:2] + '00' + body):02d}{body}"
     return permuted(c, key, kind, step)
 
 
 def written(kind: str, shown: str, new: str) -> str:
     """A canonical surrogate in the format of the text it replaces."""
-    if kind in ("phone", "card"):
-        digits = iter(new)
-        return "".join(next(digits) if ch.isdigit() else ch for ch in shown)
+    if kind in ("phone", "card", "ssn", "iban"):
+        keeps = sum(map(str.isalnum, shown)) - len(new)  # a country's code
+        signs = iter(new)
+        out = []
+        for ch in shown:
+            if ch.isalnum():
+                keeps -= 1
+                ch = ch if keeps >= 0 else next(signs)
+            out.append(ch)
+        return "".join(out)
     if kind == "name":
-        return new.split("|", 2)[2]
+        parts = PART.split(new.split("|", 2)[2])
+        if shown.isupper():
+            return "".join(parts).upper()
+        return "".join(x.capitalize() for x in parts)
     if kind == "email" and shown.isupper():
         return new.upper()
     return new
@@ -228,6 +290,8 @@ def pseudonymize(docs: DataFrame, key: bytes, keep: tuple[str, ...] = ("doc_id",
     One entity has one surrogate in the whole corpus, two entities never share one, and no
     surrogate is an entity of the corpus. Null texts become empty ones. Repeated rows come out
     alike. A surrogate of fewer than two possible values (nothing but signs) stays as it is.
+    Entities and texts of any length are read as wholes. A given name is another entity with a
+    title of another gender. Extra columns are ignored unless kept.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select(*keep, whole_text(docs).alias("_text"))
@@ -244,14 +308,15 @@ def pseudonymize(docs: DataFrame, key: bytes, keep: tuple[str, ...] = ("doc_id",
         for b in batches:
             rows = []
             for text, attempts in zip(b.column(n), b.column(n + 1)):
-                text, at, parts, kinds, count = text.as_py(), 0, [], set(), 0
+                text, at, parts, kinds, count, before = text.as_py(), 0, [], set(), 0, ""
                 attempts = dict(attempts.as_py() or ())
                 for i, j, kind, c in find(text):
                     new = surrogate(kind, c, key, attempts.get(f"{kind}|{c}", 0))
+                    # the words of one name are one entity
+                    count += not (kind == before == "name" and text[at:i] == " ")
                     parts += [text[at:i], written(kind, text[i:j], new)]
-                    at = j
+                    at, before = j, kind
                     kinds.add(kind)
-                    count += 1
                 rows.append((count, ",".join(sorted(kinds)), "".join([*parts, text[at:]])))
             columns = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.string())))], schema.names)
