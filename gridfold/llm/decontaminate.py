@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridfold.llm.common import whole_text
+from gridfold.llm.common import Scratch, whole_text
 from gridfold.llm.license_scan import TABLE
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
 #: Bytes of item texts that one pass over the documents holds; larger benchmarks take several.
 BLOCK_BYTES = 8 << 20
+#: Seeds of a document held at a time.
+SEEDS = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FIELDS = "n_tiles long, covered long, coverage double, best_item long, contaminated boolean"
 
@@ -58,6 +60,8 @@ class Index:
             if len(own) >= k:
                 self.names.append(name)
                 self.ids.append(np.array(own, np.int32))
+        self.flat = np.concatenate([*self.ids, np.zeros(0, np.int32)])
+        self.starts = np.cumsum([0, *map(len, self.ids)])[:-1]
         hashes = [rolling(x, k) for x in self.ids]
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -65,8 +69,13 @@ class Index:
         self.item = np.concatenate([np.full(len(h), i, np.int32) for i, h in enumerate(hashes)])[order] if hashes else np.zeros(0, np.int32)
         self.place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes])[order] if hashes else np.zeros(0, np.int32)
 
-    def seeds(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """(place in the document, item, place in the item) of each shared run of k words."""
+    def matches(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Maximal matches of at least k words, (item, place in the document less that in the
+        item, place in the document, words) in rows, and the document's word numbers.
+
+        Seeds are looked at SEEDS at a time and joined along their diagonals at once, so a phrase
+        that recurs in both texts needs no more memory than its matches.
+        """
         get = self.vocab.get
         words = words_of(text)
         if len(words) < self.k or not len(self.hashes):
@@ -83,38 +92,57 @@ class Index:
             return None
         at, h, low = at[hit], h[hit], low[hit]
         n = np.searchsorted(self.hashes, h, side="right") - low
-        rows = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[rows], self.place[rows], doc
+        total, found, i = np.cumsum(n), np.zeros((0, 4), np.int64), 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(total, total[i] - n[i] + SEEDS, side="right")))
+            m = n[i:j]
+            rows = np.repeat(low[i:j] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            begin, item, place = np.repeat(at[i:j], m), self.item[rows], self.place[rows].astype(np.int64)
+            same = np.ones(len(begin), bool)
+            for x in range(self.k):
+                same &= doc[begin + x] == self.flat[self.starts[item] + place + x]
+            begin, item, place = begin[same], item[same], place[same]
+            seeds = np.stack([item, begin - place, begin, np.full(len(begin), self.k)], axis=1)
+            found = joined(np.concatenate([found, seeds]), self.k)
+            i = j
+        return found, doc
 
     def tiles(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item number, tiles, words covered, words) of each item that shares a seed."""
-        found = self.seeds(text)
-        if found is None:
+        got = self.matches(text)
+        if got is None:
             return []
-        at, item, place, doc = found
+        found, doc = got
         out = []
-        for i in np.unique(item):
-            own = item == i
-            out.append((int(i), *tile(doc, self.ids[i], at[own], place[own], self.k), len(self.ids[i])))
+        for own in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1):
+            if len(own):
+                i = int(own[0, 0])
+                out.append((i, *tile(len(doc), len(self.ids[i]), own[:, 1:], self.k), len(self.ids[i])))
         return out
 
 
-def tile(doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray, k: int) -> tuple[int, int]:
-    """Greedy tiling from seeds; (tiles, words of the item covered)."""
-    same = np.ones(len(at), bool)
-    for j in range(k):
-        same &= doc[at + j] == item[place + j]
-    at, place = at[same].astype(np.int64), place[same].astype(np.int64)
-    order = np.lexsort((place, at - place))
-    at, place = at[order], place[order]
-    if not len(at):
-        return 0, 0
-    new = np.concatenate([[True], (np.diff(at - place) != 0) | (np.diff(place) != 1)])
+def joined(runs: np.ndarray, k: int) -> np.ndarray:
+    """Runs (item, diagonal, begin, words) in order, those that overlap by k - 1 words or more as one."""
+    runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0]))]
+    if not len(runs):
+        return runs
+    end = runs[:, 2] + runs[:, 3]
+    new = np.ones(len(runs), bool)
+    new[1:] = (runs[1:, :2] != runs[:-1, :2]).any(1) | (runs[1:, 2] > end[:-1] - k + 1)
     first = np.flatnonzero(new)
-    length = np.diff(np.concatenate([first, [len(at)]])) + k - 1
-    heap = [(-int(n), int(d), int(p)) for n, d, p in zip(length, at[first], place[first])]
+    out = runs[first].copy()
+    out[:, 3] = end[np.append(first[1:], len(runs)) - 1] - out[:, 2]
+    return out
+
+
+def tile(n_doc: int, n_item: int, runs: np.ndarray, k: int) -> tuple[int, int]:
+    """Greedy tiling from maximal matches (diagonal, begin, words); (tiles, words of the item covered).
+
+    Of matches of one length the first in the document, then in the item, is marked first.
+    """
+    heap = [(-n, d, d - x) for x, d, n in runs.tolist()]
     heapq.heapify(heap)
-    doc_free, item_free = np.ones(len(doc), bool), np.ones(len(item), bool)
+    doc_free, item_free = np.ones(n_doc, bool), np.ones(n_item, bool)
     tiles = 0
     while heap:
         n, d, p = heapq.heappop(heap)
@@ -126,20 +154,23 @@ def tile(doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray, k
                 break
         elif free.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
-            for a, b in zip(edge[::2], edge[1::2]):
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
                 if b - a >= k:
-                    heapq.heappush(heap, (-int(b - a), d + int(a), p + int(a)))
+                    heapq.heappush(heap, (a - b, d + a, p + a))
     return tiles, int((~item_free).sum())
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), min_match: int = MIN_MATCH, threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of `docs`: the columns `keep`, then those of FIELDS.
 
     `best_item` is the item of the highest coverage (of equal ones the smallest id; null if no
     seed is shared), `covered` its words under `n_tiles` tiles. Null and empty texts, an empty
     benchmark and items of fewer than `min_match` words give no match. Null item ids and texts
-    are ignored. Documents are never shuffled; the benchmark is read in blocks of at most
-    BLOCK_BYTES (a longer single item is a block), each a pass over the documents.
+    are ignored; of equal items the smaller id is told, and repeated rows come out alike. Texts
+    are compared as wholes. Extra columns are ignored unless kept; a kept one named like one of
+    FIELDS is refused. Documents are never shuffled; the benchmark is read in blocks of about
+    BLOCK_BYTES (a longer single item is a block), each a pass over the documents whose result is
+    written, so that one block is held at a time.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
@@ -172,4 +203,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
                 yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], *(pa.array(x, t) for x, t in zip(columns, types))], names)
 
         out = out.mapInArrow(run, schema)
+        if b < blocks - 1:
+            scratch = scratch or Scratch(spark)
+            out = scratch.put(out, f"block-{b}")
+            scratch.drop(f"block-{b - 1}")
     return out.drop("_text")
