@@ -40,7 +40,7 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of a shard; about how many regions of one core in a shard (each has at most
 #: 2 * length bytes); longest piece of a text at a time.
-SHARD, REGIONS, PIECE = 3 << 20, 8192, 2 << 20
+SHARD, REGIONS, PIECE = 3 << 20, 2048, 2 << 20
 #: Keys that every task may know: more frequent ones than a share of 1 / HOT, so at most so many.
 HOT = 50_000
 #: Texts that a task remembers, to skip their copies.
