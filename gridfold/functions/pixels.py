@@ -12,12 +12,20 @@ def _byte(c: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), c)).cast("int")
 
 
-def ycrcb(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
-    """Fixed-point luma and chroma of a blue-green-red pixel, clamped to a byte."""
+def ycrcb(b: Column, g: Column, r: Column, clamp: bool = True) -> tuple[Column, Column, Column]:
+    """Fixed-point luma and chroma of a blue-green-red pixel, clamped to a byte, or as floats
+    that aren't."""
     y = F.shiftright(b * 1868 + g * 9617 + r * 4899 + 8192, 14)
     cr = F.shiftright((r - y) * 11682 + (128 << 14) + 8192, 14)
     cb = F.shiftright((b - y) * 9241 + (128 << 14) + 8192, 14)
-    return _byte(y), _byte(cr), _byte(cb)
+    return tuple(_byte(c) if clamp else c.cast("float") for c in (y, cr, cb))
+
+
+def bgr(y: Column, cr: Column, cb: Column) -> tuple[Column, Column, Column]:
+    """The inverse of `ycrcb` in fixed point, clamped to a byte."""
+    cr, cb = cr - 128, cb - 128
+    part = lambda x: _byte(y + F.shiftright(x + 8192, 14))
+    return part(cb * 29049), part(cb * -5636 + cr * -11698), part(cr * 22987)
 
 
 def bus_bytes(height: Column, width: Column, fused: bool) -> Column:

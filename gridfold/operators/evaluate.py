@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridfold.functions import pixels as P
-from gridfold.operators import shapes, spatial
+from gridfold.operators import kernels, shapes, spatial
 from gridfold.params import BLUR_TAPS, Params
 
 
@@ -37,8 +37,11 @@ def mask_diff(a: DataFrame, b: DataFrame, key: list[str], col: str) -> DataFrame
     return both.groupBy("frame").agg(F.count_if(F.col("_a") != F.col("_b")).alias("differ"))
 
 
-def cumulative(df: DataFrame, col: str = "differ") -> DataFrame:
-    return df.withColumn("total", F.sum(col).over(Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)))
+def cumulative(df: DataFrame, col: str = "differ", by: tuple[str, ...] = ()) -> DataFrame:
+    """The running total over frames, of each stream if `by` names one; a row a frame, so that a
+    task orders one stream's frames, not their cells."""
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("total", F.sum(col).over(w))
 
 
 def first_divergence(a: DataFrame, b: DataFrame, key: list[str], least: float = 1e-4) -> DataFrame:
@@ -47,31 +50,30 @@ def first_divergence(a: DataFrame, b: DataFrame, key: list[str], least: float =
     return both.where(F.abs(F.col("_a") - F.col("_b")) > least).groupBy(*key).agg(F.min("frame_id").alias("first_frame"))
 
 
-def straddles(a: np.ndarray, b: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Whether two margins lie on both sides of 0 and within a thousandth of the scale."""
-    return (a != b) & (np.minimum(a, b) <= 0) & (np.maximum(a, b) >= 0) & (np.abs(a.astype(float) - b) < 1e-3 * np.maximum(scale, 1))
+#: How near two states, and two margins for each unit of their scale, have to be.
+CLOSE = 1e-3
 
 
 def seed_proofs(a, b, x: np.ndarray, params: Params = Params()) -> np.ndarray:
     """Of P pixels with states a, b = (n, w, v, m) before a frame x (C, P): whether the states are
-    close, and a distance that both reach lies at a branch, on either side of it."""
-    (na, wa, va, ma), (nb, wb, vb, mb) = a, b
-    proof, near = np.zeros(len(na), bool), na == nb
-    one, two = near.copy(), near.copy()
-    for k in range(params.modes):
-        live = k < np.minimum(na, nb)
-        for p, q in ((wa[k], wb[k]), (va[k], vb[k]), *zip(ma[k], mb[k])):
-            near = near & (~live | (np.abs(p - q) < 1e-3))
-        d = [np.zeros(len(na), np.float32) for _ in range(2)]
-        for i, m in enumerate((ma, mb)):
-            for c in range(len(x)):
-                d[i] = d[i] + (m[k, c] - x[c]) * (m[k, c] - x[c])
-        scale = np.float32(params.background_threshold) * np.maximum(va[k], vb[k])
-        for t in (params.background_threshold, params.generation_threshold):
-            proof |= live & one & two & straddles(d[0] - np.float32(t) * va[k], d[1] - np.float32(t) * vb[k], scale)
-        one &= ~(live & (d[0] < np.float32(params.generation_threshold) * va[k]))
-        two &= ~(live & (d[1] < np.float32(params.generation_threshold) * vb[k]))
-    return proof & near
+    close, and some decision that both come to falls on either side of its margin."""
+    (na, *one), (nb, *two) = a, b
+    w, v, m = (np.stack(pair) for pair in zip(one, two))
+    k = np.arange(params.modes)[:, None]
+    live = k < np.minimum(na, nb)
+    gaps = np.concatenate([np.abs(x[0] - x[1]).reshape(len(k), -1, len(na)) for x in (w, v, m)], axis=1)
+    alike = (na == nb) & ((gaps < CLOSE) | ~live[:, None]).all((0, 1))
+    # distances are summed channel by channel in single precision, as the fold does
+    far = np.add.accumulate((m[:, :, : len(x)] - x.astype(np.float32)) ** 2, axis=2, dtype=np.float32)[:, :, -1]
+    limits = np.float32([params.background_threshold, params.generation_threshold])[:, None, None, None]
+    margins = (far - limits * v).astype(np.float64)
+    fits = live & (margins[1] < 0)
+    # a mode is reached on both sides if none before it fits on either
+    reached = live & ((np.cumsum(fits, axis=1) - fits) == 0).all(0)
+    low, high = margins.min(1), margins.max(1)
+    scale = np.maximum(limits[0, 0] * v.max(0), 1)
+    parted = (low <= 0) & (high >= 0) & (low < high) & (high - low < CLOSE * scale)
+    return alike & (parted & reached).any((0, 1))
 
 
 def seeds(a: DataFrame, b: DataFrame, pixels: DataFrame, params: Params = Params(), least: float = 1e-4) -> DataFrame:
@@ -125,12 +127,6 @@ def whole_frame(df: pd.DataFrame) -> pd.DataFrame:
     return out.assign(stream_id=df["stream_id"].iloc[0], frame_id=df["frame_id"].iloc[0])[[c.split()[0] for c in CELLS.split(", ")]]
 
 
-def majority(m: np.ndarray, size: int = 5) -> np.ndarray:
-    """The median of a mask, apart from `spatial.median`, which it checks."""
-    near = np.lib.stride_tricks.sliding_window_view(np.pad(m == 255, size // 2, "edge"), (size, size))
-    return np.where(near.sum((2, 3)) > size * size // 2, 255, 0)
-
-
 def blurred(c: np.ndarray) -> np.ndarray:
     """The blur of a channel, apart from `spatial.blur`, which it checks."""
     r, c = len(BLUR_TAPS) // 2, c.astype(np.int64)
@@ -153,7 +149,7 @@ def compare_frame(df: pd.DataFrame, threshold: float = 0.5, channels: int = 3) -
     whole = [np.where(m != 0, image, soft) for m in refined]
     flip, edge, cascade = raw[0] != raw[1], grid("edge").astype(bool), grid("cascade").astype(bool)
     differ = [int((two[0] != two[1]).sum()) for two in (pre, refined, whole)]
-    fault = any((majority(r) != p).any() for r, p in zip(raw, pre)) or any((blurred(c) != b).any() for c, b in zip(image, soft))
+    fault = any((kernels.majority(r) != p).any() for r, p in zip(raw, pre)) or any((blurred(c) != b).any() for c, b in zip(image, soft))
     fault |= bool(differ[0] and not flip.any() or differ[1] and not differ[0] or differ[2] and not differ[1])
     # flips that the median takes away need no explanation
     unexplained = int((flip & ~edge & ~cascade).sum()) if differ[0] else 0

@@ -7,6 +7,7 @@ once, in single precision and in the order that the model prescribes.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.params import NEIGHBOURS, PROPAGATION, Params
+from gridfold.params import NEIGHBOURS, PLACE_HASH, PROPAGATION, Params
 
 f32 = np.float32
 EPSILON = f32(1.1920929e-07)
@@ -194,7 +195,7 @@ class Block:
         a neighbour. All is read before anything is written; of two writers the later by row stays."""
         s = self.state
         y, x = self.keys >> 32, self.keys & 0xFFFFFFFF
-        h = (y * 1000003 + x * 999983).astype(np.int32)
+        h = (y * PLACE_HASH[0] + x * PLACE_HASH[1]).astype(np.int32)
         from_ = np.flatnonzero(on & (mask == 0) & (s.n > 0) & ((h & 0x7FFFFFFF) % PROPAGATION == 0))
         from_ = from_[np.argsort(self.keys[from_])]
         step = np.array(NEIGHBOURS)[(h[from_] >> 4) & 7]
@@ -248,17 +249,60 @@ def fold(pixels: DataFrame, params: Params = Params(), update: float = -1.0, row
     mode by mode, after each frame).
 
     Frames of a pixel are taken by number; a filter on frames belongs after the fold, which has
-    to see all of them. One shuffle by stream and block of `rows` lines.
+    to see all of them. One shuffle by stream and block of `rows` lines; a task reads a block's
+    frames in order and holds its state and a few frames at a time, however long the stream.
+    Only where modes pass from pixel to pixel are all frames of a stream held.
     """
+    schema = BACKGROUND if final else SNAPSHOT if snapshot else RESULT
 
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        block = Block(params)
-        out = block.fold(df, update, snapshot)
-        if not final:
-            return out
+    def learned(stream: str, block: Block) -> pd.DataFrame:
         b = block.state.background()
         c = {f"c{i}": b[min(i, len(b) - 1)] for i in range(3)}
-        return pd.DataFrame({"stream_id": key[0], "y": block.keys >> 32, "x": block.keys & 0xFFFFFFFF, **c})
+        return pd.DataFrame({"stream_id": stream, "y": block.keys >> 32, "x": block.keys & 0xFFFFFFFF, **c})
 
-    schema = BACKGROUND if final else SNAPSHOT if snapshot else RESULT
-    return pixels.groupBy("stream_id", block_of(params, rows)).applyInPandas(run, schema)
+    def whole(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        block = Block(params)
+        out = block.fold(df, update, snapshot)
+        return learned(key[0], block) if final else out
+
+    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, key, block = None, None, Block(params)
+
+        def done(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            if len(df):
+                out = block.fold(df, update, snapshot)
+                if not final:
+                    yield out
+
+        for df in batches:
+            df = df if held is None else pd.concat([held, df], ignore_index=True)
+            change = (df["block"].diff().fillna(0) != 0) | (df["stream_id"] != df["stream_id"].shift(fill_value=df["stream_id"].iloc[0] if len(df) else None))
+            parts = np.split(np.arange(len(df)), np.flatnonzero(change.to_numpy()))
+            for i, rows in enumerate(parts):
+                part = df.iloc[rows]
+                if not len(part):
+                    continue
+                own = (part["stream_id"].iloc[0], part["block"].iloc[0])
+                if key is not None and own != key:
+                    if final:
+                        yield learned(key[0], block)
+                    block = Block(params)
+                key = own
+                if i < len(parts) - 1:
+                    yield from done(part)
+                else:  # the last frame may go on in the next batch
+                    last = part["frame_id"] == part["frame_id"].iloc[-1]
+                    yield from done(part[~last])
+                    held = part[last]
+        if held is not None:
+            yield from done(held)
+            if final:
+                yield learned(key[0], block)
+
+    dealt = pixels.withColumn("block", block_of(params, rows))
+    if params.propagate:
+        return dealt.groupBy("stream_id", "block").applyInPandas(whole, schema)
+    dealt = dealt.select("stream_id", "block", "frame_id", "y", "x", "c0", "c1", "c2")
+    # a given number, as small rows that take long to fold would else be coalesced into few tasks
+    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "stream_id", "block").sortWithinPartitions("stream_id", "block", "frame_id", "y", "x").mapInPandas(ordered, schema)

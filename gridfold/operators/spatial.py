@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from gridfold.operators import kernels
 from gridfold.params import BLUR_TAPS
 
 
@@ -85,27 +89,26 @@ def sobel(df: DataFrame, col: str, out: str = "edge") -> DataFrame:
     (l, r) = sides(col, row())
     df = df.withColumns({"_d": r - l, "_s": l + 2 * F.col(col) + r})
     (du, dd), (su, sd) = sides("_d", column()), sides("_s", column())
-    gx, gy = F.abs(du + 2 * F.col("_d") + dd), F.abs(sd - su)
-    half = (F.least(gx, F.lit(255)) + F.least(gy, F.lit(255))) * F.lit(0.5)
+    # each gradient is a byte of its own, rounded and saturated, before the mean
+    gx, gy = (F.least(F.rint(F.abs(g)), F.lit(255.0)) for g in (du + 2 * F.col("_d") + dd, sd - su))
+    half = (gx + gy) * F.lit(0.5)
     return df.withColumn(out, F.rint(half).cast("int")).drop("_d", "_s")
 
 
-def _mirrored(values: Column, at: Column, n: Column, taps) -> Column:
-    period = F.greatest(2 * (n - 1), F.lit(1))
-    total = F.lit(0)
-    for i, t in enumerate(taps):
-        j = F.pmod(at + (i - len(taps) // 2), period)
-        total = total + F.get(values, F.when(n == 1, 0).otherwise(F.when(j >= n, period - j).otherwise(j))) * t
-    return total
+def blur(df: DataFrame, col: str, taps=BLUR_TAPS) -> DataFrame:
+    """Separable blur in 1/256: no rounding between the passes, (sum + 32768) >> 16 after both.
 
+    A numpy kernel for each frame, which a task holds as a whole; one shuffle by frame.
+    """
 
-def blur(df: DataFrame, col: str, taps=BLUR_TAPS) -> DataFrame:
-    """Separable blur in 1/256: no rounding between the passes, (sum + 32768) >> 16 after both."""
-    for at, w in (("x", row()), ("y", column())):
-        every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        line = F.collect_list(col).over(every)
-        df = df.withColumn("_line", line).withColumn(col, _mirrored(F.col("_line"), F.col(at), F.size("_line"), taps)).drop("_line")
-    return df.withColumn(col, F.shiftright(F.col(col) + 32768, 16).cast("int"))
+    def run(t: pa.Table) -> pa.Table:
+        y, x = t["y"].to_numpy(), t["x"].to_numpy()
+        grid = np.zeros((y.max() + 1, x.max() + 1), np.int32)
+        grid[y, x] = t[col].to_numpy()
+        return t.set_column(t.schema.get_field_index(col), col, pa.array(kernels.blurred(grid, tuple(taps))[y, x].astype(np.int32)))
+
+    schema = T.StructType([T.StructField(f.name, T.IntegerType()) if f.name == col else f for f in df.schema])
+    return df.groupBy("frame").applyInArrow(run, schema)
 
 
 def composite(mask: Column, original: Column, blurred: Column) -> Column:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Params:
+    """The model's published defaults."""
+
     modes: int = 5
     channels: int = 3
     history: int = 250
@@ -29,4 +31,6 @@ BLUR_TAPS = (9, 11, 15, 17, 19, 22, 23, 24, 23, 22, 19, 17, 15, 11, 9)
 
 #: One background pixel in so many passes its first mode on; the steps (y, x) to its neighbours.
 PROPAGATION = 16
+#: The factors of a pixel's row and column in the number that picks it.
+PLACE_HASH = (1000003, 999983)
 NEIGHBOURS = ((0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1))

@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions import pixels as P
-from gridfold.operators import shapes, spatial
+from gridfold.operators import kernels, shapes, spatial
 
 
 def refine(df: DataFrame, prob: str | None = None, close: int = 0, fill: bool = True) -> DataFrame:
     """(frame, y, x, m): threshold or binarise, median, optional closing and hole fill."""
     m = P.below_confidence(F.col(prob)) if prob else P.binarize(F.col("m"))
-    out = spatial.close_ellipse(spatial.median(df.withColumn("m", m), "m", 5), "m", close)
+    out = spatial.close(spatial.median(df.withColumn("m", m), "m", 5), "m", close)
     return shapes.by_frame(out, "m", shapes.fill_holes) if fill else out.select("frame", "y", "x", "m")
 
 
+def finished(df: pd.DataFrame, confidence: float = 0.5, close: int = 0) -> pd.DataFrame:
+    """A whole frame in one pass: its refined mask by confidence, and its composite. For frames
+    too large for windows over cells; the same results as `refine`, `spatial.blur`."""
+    df = df.sort_values(["y", "x"])
+    shape = int(df["y"].max()) + 1, int(df["x"].max()) + 1
+    grid = lambda c: df[c].to_numpy().reshape(shape)
+    m = kernels.majority(np.where(grid("bg_prob").astype(np.float32) < np.float32(confidence), 255, 0))
+    m = np.asarray(shapes.fill_holes(kernels.closed(m, close)))
+    image = {c: np.where(m != 0, x, kernels.blurred(x)) for c, x in zip("bgr", map(grid, ("c0", "c1", "c2")))}
+    out = df[["stream_id", "frame_id", "y", "x", "mask"]].assign(refined=m.ravel())
+    return out.assign(**{c: x.ravel().astype(np.int32) for c, x in image.items()})
+
+
 def _fill(df: DataFrame) -> DataFrame:
     return shapes.by_frame(df, "m", shapes.fill_holes)
 

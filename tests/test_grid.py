@@ -5,85 +5,76 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridfold.functions import pixels as P
-from gridfold.operators import evaluate, mixture, shapes, spatial
+from gridfold.operators import evaluate, kernels, mixture, records, shapes, spatial
 from gridfold.params import BLUR_TAPS, Params
-from gridfold.plans import chains
+from gridfold.plans import chains, pipeline
+from gridfold.sources import carriers
 from gridfold.streaming.fold import fold_stream
 
 f = np.float32
 
 
-def scalar_step(s, x, alpha, p=Params()):
-    """One pixel, one frame, as the model is stated; s: dict of w, v, m, n."""
-    one, prune, tw, bw, bg, fit, n = f(1) - alpha, f(-alpha * f(p.complexity)), f(0), f(0), False, False, s["n"]
-    k = 0
+def one_pixel(modes, n, x, alpha, p=Params()):
+    """One frame of one pixel by the published rules, on a table of modes (weight, variance, mean)
+    kept in order by taking a row out and putting it back in: (modes, n, mask, probability)."""
+    keep, floor = f(1) - alpha, alpha * f(p.complexity)
+    x, matched, background, passed, prob, k = x.astype(f), False, False, f(0), f(0), 0
     while k < n:
-        w, swaps = f(f(one * s["w"][k]) + prune), 0
-        if not fit:
-            d = [f(s["m"][k][c] - x[c]) for c in range(3)]
-            d2 = f(f(f(d[0] * d[0]) + f(d[1] * d[1])) + f(d[2] * d[2]))
-            if d2 < f(16) * s["v"][k]:
-                bw = f(bw + s["w"][k])
-                bg |= bool(tw < f(0.9))
-            if d2 < f(9) * s["v"][k]:
-                fit, w = True, f(w + alpha)
-                r = f(alpha / w)
-                s["m"][k] = [f(s["m"][k][c] - f(r * d[c])) for c in range(3)]
-                s["v"][k] = min(max(f(s["v"][k] + f(r * f(d2 - s["v"][k]))), f(4)), f(75))
-                i = k
-                while i > 0 and not w < s["w"][i - 1]:
-                    for a in ("w", "v", "m"):
-                        s[a][i], s[a][i - 1] = s[a][i - 1], s[a][i]
-                    i, swaps = i - 1, swaps + 1
-        if w < -prune:
-            w, n = f(0), n - 1
-        s["w"][k - swaps] = w
-        tw = f(tw + w)
+        mode, at = modes[k].copy(), k
+        gap = mode[2:] - x
+        far = np.add.accumulate(gap * gap, dtype=f)[-1]
+        if not matched and far < f(p.background_threshold) * mode[1]:
+            prob += mode[0]
+            background |= bool(passed < f(p.background_ratio))
+        mode[0] = keep * mode[0] - floor
+        if not matched and far < f(p.generation_threshold) * mode[1]:
+            matched = True
+            mode[0] += alpha
+            rate = alpha / mode[0]
+            mode[1] = np.clip(mode[1] + rate * (far - mode[1]), f(p.var_min), f(p.var_max))
+            mode[2:] -= rate * gap
+            at = max(np.flatnonzero(modes[:k, 0] > mode[0]), default=-1) + 1
+        if mode[0] < floor:
+            mode[0], n = 0, n - 1
+        passed += mode[0]
+        modes = np.insert(np.delete(modes, k, 0), at, mode, 0)
         k += 1
-    inv = f(f(1) / tw) if abs(tw) > mixture.EPSILON else f(0)
-    for i in range(n):
-        s["w"][i] = f(s["w"][i] * inv)
-    if not fit and alpha > 0:
-        if n == 5:
-            slot = 4
-        else:
-            slot, n = n, n + 1
-        if n == 1:
-            s["w"][slot] = f(1)
-        else:
-            s["w"][slot] = alpha
-            for i in range(n - 1):
-                s["w"][i] = f(s["w"][i] * one)
-        s["m"][slot], s["v"][slot] = list(map(f, x)), f(15)
-        i = n - 1
-        while i > 0 and not alpha < s["w"][i - 1]:
-            for a in ("w", "v", "m"):
-                s[a][i], s[a][i - 1] = s[a][i - 1], s[a][i]
-            i -= 1
-    s["n"] = n
-    return (0 if bg else 255), bw
+    modes[:n, 0] *= f(1) / passed if abs(passed) > mixture.EPSILON else f(0)
+    if not matched and alpha > 0:
+        n = min(n + 1, len(modes))
+        modes[: n - 1, 0] *= keep
+        fresh = np.concatenate([[alpha if n > 1 else 1, p.var_init], x]).astype(f)
+        at = max(np.flatnonzero(modes[: n - 1, 0] > alpha), default=-1) + 1
+        modes = np.insert(np.delete(modes, n - 1, 0), at, fresh, 0)
+    return modes, n, 0 if background else 255, prob
 
 
 @pytest.mark.parametrize("update", [-1.0, 0.2])
-def test_mixture_equals_the_scalar_model(update):
+def test_mixture_equals_the_model_pixel_by_pixel(update):
     r = np.random.default_rng(3)
     frames = r.choice([40, 80, 82, 200], (60, 3, 40), p=[0.5, 0.2, 0.2, 0.1]) + r.integers(0, 4, (60, 3, 40))
     state = mixture.State(40)
-    one = [{"w": [f(0)] * 5, "v": [f(0)] * 5, "m": [[f(0)] * 3 for _ in range(5)], "n": 0} for _ in range(40)]
+    held = [(np.zeros((5, 5), f), 0)] * 40
     drops = 0
     for t, x in enumerate(frames, 1):
         before = state.n.copy()
         mask, prob = state.step(x, update)
         drops += (state.n < before).sum()
         alpha = f(update) if update >= 0 and t > 1 else f(1.0 / min(2 * t, 250))
-        for i in range(40):
-            assert (mask[i], prob[i]) == scalar_step(one[i], x[:, i], alpha)
-            assert state.n[i] == one[i]["n"]
-            assert [state.w[k, i] for k in range(one[i]["n"])] == one[i]["w"][: one[i]["n"]]
+        for i, (modes, n) in enumerate(held):
+            *held[i], want, p = one_pixel(modes, n, x[:, i], alpha)
+            own, n = held[i]
+            assert (mask[i], prob[i], state.n[i]) == (want, p, n)
+            assert (state.w[:n, i] == own[:n, 0]).all() and (state.v[:n, i] == own[:n, 1]).all() and (state.m[:n, :, i] == own[:n, 2:]).all()
         if t == 1:
             assert (mask == 255).all() and (prob == 0).all() and (state.n == 1).all()
     assert update < 0 or drops > 0
-    assert state.background().shape == (3, 40)
+    # every pixel's background is the mean of its heaviest modes
+    for i, (modes, n) in enumerate(held):
+        before = np.concatenate([[0], np.cumsum(modes[:n, 0], dtype=f)[:-1]])
+        use = before < f(0.9)
+        want = (modes[:n][use, :1] * modes[:n][use, 2:]).sum(0) / modes[:n][use, 0].sum()
+        assert np.abs(state.background()[:, i] - want).max() <= 0.51
 
 
 def test_colour_and_taps(spark):
@@ -120,22 +111,118 @@ def test_stencils(spark):
     assert (back(spatial.blur(grid(spark, g), "m"), g.shape) == (v + 32768) >> 16).all()
 
 
+def walk(start, free):
+    """Cells of the set `free` that side steps from `start` reach."""
+    got, todo = set(), [c for c in start if c in free]
+    while todo:
+        y, x = todo.pop()
+        if (y, x) not in got:
+            got.add((y, x))
+            todo += [c for c in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if c in free]
+    return got
+
+
 def test_shapes():
-    m = np.zeros((48, 64), int)
-    m[10:38, 12:52] = 255
-    m[22:26, 28:34] = 0
-    full = m.copy()
-    full[22:26, 28:34] = 255
-    assert (shapes.fill_holes(m) == full).all() and (shapes.contour_fill(m) == full).all()
-    assert (shapes.fill_reconstruct(m)[0] == full).all() and shapes.hole_count(m) == 1
-    corner = np.zeros((48, 64), int)
-    corner[:20, :20] = 255
-    assert (shapes.fill_holes(corner) == corner).all()
-    both = corner.copy()
-    both[40, 50] = 255
-    assert (shapes.largest_component(both) == corner).all()
+    r = np.random.default_rng(17)
+    for h, w, share in ((1, 1, 0.5), (7, 9, 0.6), (30, 41, 0.55), (60, 70, 0.45), (12, 3, 1.0), (5, 5, 0.0)):
+        m = np.where(r.random((h, w)) < share, 255, 0)
+        free = {(y, x) for y, x in zip(*np.nonzero(m == 0))}
+        outside = walk([(y, x) for y in range(h) for x in range(w) if y in (0, h - 1) or x in (0, w - 1)], free)
+        want = np.array([[0 if (y, x) in outside else 255 for x in range(w)] for y in range(h)])
+        assert (shapes.fill_holes(m) == want).all() and (shapes.fill_reconstruct(m)[0] == want).all() and (shapes.contour_fill(m) == want).all()
+        inner, holes = free - outside, 0
+        while inner:
+            inner, holes = inner - walk([next(iter(inner))], inner), holes + 1
+        assert shapes.hole_count(m) == holes
+        for seed in ((50, 50), (h // 2, w // 2)):
+            want = 255 - 255 * np.array([[(y, x) in walk([seed], free) for x in range(w)] for y in range(h)])
+            assert (shapes.seeded_fill(m, seed) == want).all()
+    three = np.zeros((9, 31), int)
+    three[1:3, 1:8], three[4:8, 10:13], three[0, 20:28] = 255, 255, 255
+    one = np.zeros_like(three)
+    one[1:3, 1:8] = 255
+    three[4, 13] = three[5, 14] = 255  # corners touch: 14 cells on either side, the first stays
+    assert (shapes.largest_component(three) == one).all() and (shapes.largest_component(one * 0) == 0).all()
     with pytest.raises(RuntimeError):
-        shapes.fill_reconstruct(m, most=1)
+        shapes.fill_reconstruct(np.zeros((40, 40), int), most=1)
+
+
+def test_frames_from_files(spark, tmp_path):
+    r = np.random.default_rng(4)
+    frames = {i: r.integers(0, 256, (4, 6, 3), np.uint8) for i in (3, 4, 5)}
+    for i, x in frames.items():
+        (tmp_path / f"in{i:06d}.ppm").write_bytes(b"P6\n# a comment\n6 4\n255\n" + x.tobytes())
+    (tmp_path / "roi.pgm").write_bytes(b"P5 6 4 255 " + bytes(range(24)))
+    df = carriers.netpbm_frames(spark, str(tmp_path))
+    got = {x.frame_id: np.frombuffer(x.data, np.uint8).reshape(4, 6, 3) for x in df.collect()}
+    assert set(got) == {3, 4, 5} and all((got[i] == frames[i]).all() for i in got)
+    assert sorted(x.frame_id for x in carriers.window(df, 4, 9).collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        carriers.window(df, 9, 1)
+    cells = {(x.frame_id, x.y, x.x): (x.c0, x.c1, x.c2) for x in carriers.pixels_of(df).collect()}
+    assert cells[4, 2, 5] == tuple(frames[4][2, 5]) and len(cells) == 72
+    roi = carriers.netpbm((tmp_path / "roi.pgm").read_bytes())
+    assert roi == (4, 6, 1, bytes(range(24)))
+    for bad in (b"P6 6 4 65535 " + bytes(144), b"P6 6 4 255 " + bytes(9), b"P2 1 1 255 7"):
+        with pytest.raises(ValueError):
+            carriers.netpbm(bad)
+    small = carriers.resized(df, 2, 3).where("frame_id = 3").first()
+    want = np.rint(frames[3].astype(float).reshape(2, 2, 3, 2, 3).mean((1, 3)))  # halves are means of four
+    assert (np.frombuffer(small.data, np.uint8).reshape(2, 3, 3) == want).all() and (small.height, small.width) == (2, 3)
+    assert (kernels.resized(frames[3][:, :, 0], 4, 6) == frames[3][:, :, 0]).all()
+
+
+def test_kernels_equal_windows(spark):
+    m = np.where(np.random.default_rng(9).random((11, 17)) > 0.6, 255, 0)
+    assert (kernels.majority(m) == back(spatial.median(grid(spark, m), "m"), m.shape)).all()
+    assert (kernels.closed(m, 7) == back(spatial.close(grid(spark, m), "m", 7), m.shape)).all() and (kernels.closed(m, 0) == m).all()
+
+
+def test_colours(spark):
+    row = lambda e: spark.range(1).select(*e).first()
+    for c in ((0, 0, 255), (12, 200, 99), (255, 255, 255), (255, 0, 0)):
+        y, cr, cb = row(P.ycrcb(*map(F.lit, c)))
+        assert max(abs(a - b) for a, b in zip(row(P.bgr(*map(F.lit, (y, cr, cb)))), c)) <= 2 or max(cr, cb) == 255
+    assert row(P.ycrcb(F.lit(0), F.lit(0), F.lit(255), clamp=False))[1] > 255
+    assert row([P.bus_bytes(F.lit(10), F.lit(20), x) for x in (True, False)]) == (1600, 3400)
+    assert abs(row([P.grey(F.lit(10), F.lit(20), F.lit(30))])[0] - 21.85) < 1e-4
+
+
+def test_records(spark):
+    lines = ["first run:", " fold   12.50 ms", "blur 3 ms", "", "second run:", "fold 10.5 ms"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line int, value string")
+    got = carriers.parse_records(df)
+    assert sorted(map(tuple, got.collect())) == [("first run", "blur", 3.0), ("first run", "fold", 12.5), ("second run", "fold", 10.5)]
+    assert carriers.parse_records(df.drop("line")).where("header is null").count() == 3
+    assert {r.name: (r.milliseconds, r.rounds) for r in records.median_rounds(got).collect()} == {"fold": (11.5, 2), "blur": (3.0, 1)}
+    shares = records.stage_shares(got)
+    assert {r.name: round(r.share, 3) for r in shares.collect()} == {"fold": 0.885, "blur": 0.115}
+    assert [(r.name, round(r.reached, 3)) for r in records.reached_shares(shares).orderBy("reached").collect()] == [("fold", 0.885), ("blur", 1.0)]
+
+
+def test_fold_of_many_batches(spark):
+    df = carriers.traffic(spark, 12, 10, 16)
+    want = sorted(mixture.fold(df, rows=4).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)  # batches end within frames
+    try:
+        assert sorted(mixture.fold(df, rows=4).collect()) == want and len(want) == 12 * 160
+        assert mixture.fold(df, rows=3, final=True).count() == 160
+        assert mixture.fold(df.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_traffic_through_the_pipeline(spark):
+    df = carriers.traffic(spark, 30, 24, 40, cars=2)
+    late = pipeline.blur_background(df, update=0.05, close=3).where("frame_id > 20").toPandas()
+    frames = df.where("frame_id > 20").toPandas()
+    both = late.merge(frames, on=["stream_id", "frame_id", "y", "x"])
+    car = both["c0"] > 110
+    on = both["refined"] == 255
+    assert len(both) == 10 * 24 * 40 and on[car].mean() > 0.5 and on[~car].mean() < 0.05
+    assert (both["b"][on] == both["c0"][on]).all()
+    with pytest.raises(ValueError):
+        pipeline.model(df, colour="hsv")
 
 
 def test_scores(spark):
