@@ -243,7 +243,7 @@ def block_of(params: Params, rows: int) -> Column:
     return F.lit(0).alias("block") if params.propagate else F.expr(f"y div {int(rows)}").alias("block")
 
 
-def fold(pixels: DataFrame, params: Params = Params(), update: float = -1.0, rows: int = 16, final: bool = False, snapshot: bool = False) -> DataFrame:
+def fold(pixels: DataFrame, params: Params = Params(), update: float = -1.0, rows: int = 8, final: bool = False, snapshot: bool = False) -> DataFrame:
     """Mask, background probability and modes in use of every pixel and frame (or, if `final`,
     the learned background of every pixel; if `snapshot`, with the weights, variances and means,
     mode by mode, after each frame).
