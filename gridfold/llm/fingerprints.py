@@ -153,16 +153,15 @@ def edited_prints(docs: DataFrame) -> tuple[DataFrame, int]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
     dealt, bounds = in_ranges(docs)
     last = max(len(bounds), 1) - 1
-    order = "PARTITION BY _range ORDER BY doc_id NULLS FIRST, text"
-    rows = dealt.select("*", F.expr(f"row_number() OVER ({order})").alias("_n"), F.expr(f"lead(text) OVER ({order})").alias("_next"))
-    # the first rows of the ranges, which follow the last ones of those before
+    # the first row of each range also stands, as an extra one, behind the last of the range before
+    order = "PARTITION BY _range ORDER BY _extra, doc_id NULLS FIRST, text"
+    dealt = dealt.withColumn("_extra", F.lit(0))
     begins = dealt.where(F.col("doc_id").isNull() | F.col("doc_id").isin(bounds)) if bounds else dealt
-    begins = begins.select("*", F.expr(f"row_number() OVER ({order})").alias("_n")).where("_n = 1")
-    begins = begins.select(F.when(F.col("_range") == 0, last).otherwise(F.col("_range") - 1).alias("_of"), F.col("text").alias("_begin"))
+    begins = begins.select("*", F.expr(f"row_number() OVER ({order})").alias("_n")).where("_n = 1").drop("_n")
+    begins = begins.withColumns({"_range": F.when(F.col("_range") == 0, last).otherwise(F.col("_range") - 1), "_extra": F.lit(1)})
+    rows = dealt.unionByName(begins)
+    both = rows.select("*", F.expr(f"row_number() OVER ({order})").alias("_n"), F.expr(f"lead(text) OVER ({order})").alias("_next")).where("_extra = 0")
     half = F.floor(F.length("text") / 2).cast("int")
-    inner = rows.where(F.col("_next").isNotNull())
-    ends = rows.where(F.col("_next").isNull()).join(begins, F.col("_range") == F.col("_of")).withColumn("_next", F.col("_begin")).select(*inner.columns)
-    both = inner.unionByName(ends)
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("_next", F.lit(1), half))
     both = both.select("_range", "_n", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("_edited"))
     key = ["_range", "_n", "doc_id", "n_chars", "edited_sha256", "_kind"]
