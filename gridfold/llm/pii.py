@@ -4,8 +4,8 @@ An entity (mail address, phone, card, account or social security number, IP addr
 name) is brought to a canonical form, so that all ways of writing it share one surrogate: a
 phone number is its last ten digits, what stands before them is a country's code and stays. The
 surrogate comes from a keyed permutation of all strings of the same layout (letters stay letters
-of their case and script, digits digits, check digits keep their validity), so different entities
-of a layout can't share one.
+of their case and script, digits digits, check digits hold), so different entities of a layout
+can't share one. Long numbers whose check digit is wrong are no cards and stay.
 
 Names begin after a title. Each of their words has a surrogate of its own, by its script, case
 and, for given names, the title's gender, so a full name and a short one still belong together;
@@ -93,7 +93,8 @@ def find(text: str) -> Iterator[tuple[int, int, str, str]]:
                 found.append((*m.span(kind), kind, c))
         else:
             c = x.lower() if kind == "email" else re.sub(r"\D", "", x) if kind in ("phone", "card", "ssn") else x
-            found.append((*m.span(kind), kind, c[-10:] if kind == "phone" else c))
+            if kind != "card" or luhn(c) == 0:
+                found.append((*m.span(kind), kind, c[-10:] if kind == "phone" else c))
     if roles:
         places = dict(titled)
         begins = [f[0] for f in found]
@@ -206,8 +207,7 @@ def surrogate(kind: str, c: str, key: bytes, attempt: int = 0) -> str:
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
     if kind == "card":
         body = permuted(c[:-1], key, f"{kind}{len(c)}", step)
-        off = (int(c[-1]) - luhn(c[:-1] + "0") * 9) % 10
-        return body + str((luhn(body + "0") * 9 + off) % 10)
+        return body + str(luhn(body + "0") * 9 % 10)
     if kind == "name":
         script, role, x = c.split("|", 2)
         parts = PART.split(x)

@@ -149,7 +149,8 @@ def test_surrogates():
     text = "a.b@c.example.org A.B@C.EXAMPLE.ORG 192.168.1.7 4845168114407329"
     out = [(k, c, pii.surrogate(k, c, b"k")) for *_, k, c in pii.find(text)]
     assert out[0][2] == out[1][2] and all(c != s for _, c, s in out)
-    assert pii.luhn("79927398713") == 0
+    assert pii.luhn("79927398713") == 0 and out[3][0] == "card" and pii.luhn(out[3][2]) == 0
+    assert [*pii.find("number 4845168114407328, 4845-1681-1440-7328 or 48451681144073")] == []  # wrong check digits
     p = pii.Permutation(b"k", "x", 97)
     assert sorted(map(p, range(97))) == list(range(97)) and all(p(i) != i for i in range(97))
     assert re.fullmatch(r"\+\d \(\d{3}\) \d{3}-\d{4}", pii.written("phone", "+1 (017) 555-7713", pii.surrogate("phone", "10175557713", b"k")))
