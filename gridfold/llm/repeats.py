@@ -15,7 +15,8 @@
    shards.
 
 A text that occurs twice loses everything, so its copies never meet: the very frequent ones
-are known to every task (their number is bounded), and a task looks at one copy only.
+are known to every task (their number is bounded), which reads one row of each in the whole
+corpus; of other texts a task looks at one copy only.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ SHARD, REGIONS, PIECE = 3 << 20, 2048, 2 << 20
 HOT = 50_000
 #: Texts that a task remembers, to skip their copies.
 RECENT = 200_000
+#: Regions that a task remembers to have sent; frequent ones recur soon.
+SENT = 20_000
+#: Copies of a text from which on one row is told to every task, to stand for all.
+COPIES = 1000
 _PLACE = U((1 << 24) - 1)
 
 
@@ -228,16 +233,19 @@ def across(runs: list[np.ndarray]) -> list[np.ndarray]:
 
 
 class Pieces:
-    """Batches (t1, t2, text) in pieces of texts that are new to the task."""
+    """Batches (t1, t2, text, row) in pieces of texts that are new to the task; a text that
+    `owners` knows is read in its owner's row alone."""
 
-    def __init__(self, length: int):
-        self.length, self.seen = length, set()
+    def __init__(self, length: int, owners: dict[tuple[int, int], int]):
+        self.length, self.owners, self.seen = length, owners, set()
 
     def fresh(self, b: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
-        for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            keep.append(key not in self.seen)
-            self.seen.add(key)
+        for *key, row in zip(*(b.column(i).to_pylist() for i in (0, 1, 3))):
+            key = tuple(key)
+            keep.append(key not in self.seen and self.owners.get(key, row) == row)
+            if keep[-1]:
+                self.seen.add(key)
         if len(self.seen) > RECENT:
             self.seen.clear()
         return b.filter(pa.array(keep, pa.bool_()))
@@ -258,16 +266,17 @@ class Pieces:
 
 
 class Repeats:
-    """The repeated strings of a corpus (t1, t2, text); see the module's text."""
+    """The repeated strings of a corpus (t1, t2, text, row); see the module's text. `owners` is a
+    broadcast map from frequent texts to the row that stands for them."""
 
-    def __init__(self, texts: DataFrame, length: int, scratch: Scratch):
-        self.texts, self.length, self.scratch, self.spark = texts, length, scratch, texts.sparkSession
+    def __init__(self, texts: DataFrame, length: int, scratch: Scratch, owners):
+        self.texts, self.length, self.scratch, self.owners, self.spark = texts, length, scratch, owners, texts.sparkSession
 
     def core_marks(self, size: int):
-        length = self.length
+        length, owners = self.length, self.owners
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Pieces(length)
+            own = Pieces(length, owners.value)
             for b in batches:
                 for *_, key in own.of(own.fresh(b)):
                     yield pa.RecordBatch.from_arrays([pa.array(key)], ["k"])
@@ -278,11 +287,11 @@ class Repeats:
 
     def found(self, marks) -> DataFrame:
         """A row for each region whose core is marked: text, start, windows, core, digest."""
-        length = self.length
+        length, owners = self.length, self.owners
         names = ["t1", "t2", "start", "n", "k", "c1", "c2"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Pieces(length)
+            own = Pieces(length, owners.value)
             for b in batches:
                 b = own.fresh(b)
                 for part, row, start, lo, hi, key in own.of(b):
@@ -293,11 +302,14 @@ class Repeats:
         return self.texts.mapInArrow(V.lean(run), "t1 long, t2 long, start long, n int, k long, c1 long, c2 long")
 
     def contents(self, marks, parts) -> DataFrame:
-        """Of each wanted region, known by the hash t1 ^ start of one place, core, part and bytes."""
-        length = self.length
+        """Of each wanted region, known by the hash t1 ^ start of one place, core, part and bytes.
+
+        Other places pass the marks now and then, which adds up for a region with very many; so
+        a task sends a region once."""
+        length, owners = self.length, self.owners
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Pieces(length)
+            own, sent = Pieces(length, owners.value), set()
             hot, many = parts.value
             for b in batches:
                 b = own.fresh(b)
@@ -306,11 +318,19 @@ class Repeats:
                     ok = np.flatnonzero(marked(t1[row] ^ start, marks.value))
                     lo, end, key, raw = lo[ok], hi[ok] + length, key[ok], part.tobytes()
                     c = digests(memoryview(raw), lo, end)
+                    new = []
+                    for i, region in enumerate(zip(key.tolist(), *c.T.tolist())):
+                        if region not in sent:
+                            sent.add(region)
+                            new.append(i)
+                    if len(sent) > SENT:
+                        sent.clear()
+                    lo, end, key, c = lo[new], end[new], key[new], c[new]
                     split = np.ones(len(key), np.int64)
                     if len(hot):
                         at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                         split = np.where(hot[at] == key, many[at], 1)
-                    own_part = (c[:, 1].copy().view(U) % split.astype(U)).astype(np.int32)
+                    own_part = (np.ascontiguousarray(c[:, 1]).view(U) % split.astype(U)).astype(np.int32)
                     content = pa.array([raw[x:y] for x, y in zip(lo.tolist(), end.tolist())], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own_part), pa.array(split, pa.int32()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), content], ["k", "part", "parts", "c1", "c2", "content"])
 
@@ -457,13 +477,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
     own = [f"_{i}" for i in range(len(keep))]
     text = whole_text(docs)
     rows = docs.select(*(docs[c].alias(x) for c, x in zip(keep, own)), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
-    texts = rows.where(F.octet_length("text") >= length).select("t1", "t2", "text")
-    counts = texts.groupBy("t1", "t2").agg(F.count("*").alias("times"), F.max(F.octet_length("text")).alias("size")).where("times > 1")
+    # rows alike in all that is kept share a mark: both are read then
+    texts = rows.where(F.octet_length("text") >= length).select("t1", "t2", "text", F.xxhash64(F.lit(0), *(F.col(x).cast("string") for x in own)).alias("row"))
+    counts = texts.groupBy("t1", "t2").agg(F.count("*").alias("times"), F.min("row").alias("owner")).where("times > 1")
     copies = scratch.put(counts, "copies")
     n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
-    hot = spark.sparkContext.broadcast({(r.t1, r.t2) for r in copies.where(F.col("times") > max(n / HOT, 1000)).select("t1", "t2").collect()})
+    hot = spark.sparkContext.broadcast({(r.t1, r.t2): r.owner for r in copies.where(F.col("times") > max(n / HOT, COPIES)).select("t1", "t2", "owner").collect()})
     twice = copies.select("t1", "t2")
-    spans = Repeats(texts, length, scratch).spans(size, lambda df: df.join(twice, ["t1", "t2"], "left_anti"))
+    spans = Repeats(texts, length, scratch, hot).spans(size, lambda df: df.join(twice, ["t1", "t2"], "left_anti"))
     n_spans, n_twice = spans.count(), copies.count()
     some = spark.sparkContext.broadcast(bitmap(spans.select("t1"), bits_for(n_spans)))
     again = spark.sparkContext.broadcast(bitmap(copies.select("t1"), bits_for(n_twice)))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridfold.llm import repeats
@@ -33,9 +34,10 @@ def corpus() -> list[str]:
     return texts
 
 
-@pytest.mark.parametrize("shards, hot", [(8192, 50_000), (3, 2)])
-def test_equals_brute_force(spark, monkeypatch, shards, hot):
+@pytest.mark.parametrize("shards, hot, copies", [(8192, 50_000, 1000), (3, 2, 1000), (3, 50_000, 10)])
+def test_equals_brute_force(spark, monkeypatch, shards, hot, copies):
     monkeypatch.setattr(repeats, "REGIONS", shards)
+    monkeypatch.setattr(repeats, "COPIES", copies)
     monkeypatch.setattr(repeats, "HOT", hot)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, n int, t1 string")
@@ -43,6 +45,25 @@ def test_equals_brute_force(spark, monkeypatch, shards, hot):
     assert [tuple(r[1:]) for r in rows] == brute_force([t.encode() for t in texts], 200)
 
 
+def test_one_row_stands_for_a_frequent_text():
+    def batch(*rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["t1", "t2", "text", "row"])
+
+    own = repeats.Pieces(200, {(1, 1): 5})
+    got = own.fresh(batch((1, 1, "a", 4), (1, 1, "a", 5), (1, 1, "a", 5), (1, 2, "b", 4), (1, 2, "b", 9)))
+    assert got.column(3).to_pylist() == [5, 4]
+    assert own.fresh(batch((1, 1, "a", 5), (3, 1, "c", 5))).column(0).to_pylist() == [3]
+
+
+def test_frequent_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "COPIES", 2)
+    texts = [*corpus()[:9], *[corpus()[3]] * 6]
+    ids = [*range(9), 3, 3, None, None, 20, 21]
+    rows = repeats.remove_repeats(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)).collect()
+    want = [(i, *x) for i, x in zip(ids, brute_force([t.encode() for t in texts], 200))]
+    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+
+
 def test_kept_bytes_and_other_lengths(spark):
     texts = corpus()[::7] + [None]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
