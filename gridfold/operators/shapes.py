@@ -31,9 +31,48 @@ def border(shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
+def runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, first cell, cell after the last) of each run of cells in a line, in order."""
+    wide = np.zeros((on.shape[0], on.shape[1] + 2), np.int8)
+    wide[:, 1:-1] = on
+    edge = np.diff(wide, axis=1)
+    y, first = np.nonzero(edge == 1)
+    return y, first, np.nonzero(edge == -1)[1]
+
+
+def labels(on: np.ndarray, eight: bool = True) -> np.ndarray:
+    """Components by number from 1, in the order of their first cells; 0 elsewhere.
+
+    Runs that touch between lines are joined: each takes the least run it is joined to, until
+    none changes.
+    """
+    out = np.zeros(on.shape, np.int32)
+    y, a, b = runs(on)
+    line, e = on.shape[1] + 2, int(eight)
+    low = np.searchsorted(y * line + b, (y + 1) * line + a - e, "right")
+    many = np.searchsorted(y * line + a, (y + 1) * line + b + e, "left") - low
+    i = np.repeat(np.arange(len(y)), many)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    root = np.arange(len(y))
+    while len(i):
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, root[i], least)
+        np.minimum.at(root, root[j], least)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    out[on] = np.repeat(np.unique(root, return_inverse=True)[1] + 1, b - a)
+    return out
+
+
 def fill_holes(m: np.ndarray) -> np.ndarray:
     """Background that a border can't reach, by side steps, becomes foreground."""
-    return np.where(spread(border(m.shape), m == 0)[0], 0, 255)
+    own = labels(m == 0, eight=False)
+    open_ = np.zeros(own.max(initial=0) + 1, bool)
+    open_[own[border(m.shape)]] = True
+    open_[0] = False
+    return np.where(open_[own], 0, 255)
 
 
 def fill_reconstruct(m: np.ndarray, most: int = 4096) -> tuple[np.ndarray, int]:
@@ -43,18 +82,6 @@ def fill_reconstruct(m: np.ndarray, most: int = 4096) -> tuple[np.ndarray, int]:
     return np.where(got, 0, 255), turns
 
 
-def labels(on: np.ndarray, eight: bool = True) -> np.ndarray:
-    """Components by number from 1, in the order of their first cells; 0 elsewhere."""
-    out, n = np.zeros(on.shape, np.int32), 0
-    for y, x in zip(*np.nonzero(on)):
-        if not out[y, x]:
-            n += 1
-            seed = np.zeros(on.shape, bool)
-            seed[y, x] = True
-            out[spread(seed, on, eight)[0]] = n
-    return out
-
-
 def largest_component(m: np.ndarray) -> np.ndarray:
     own = labels(m != 0)
     if own.max() == 0:
@@ -74,10 +101,10 @@ def hole_count(m: np.ndarray) -> int:
 def seeded_fill(m: np.ndarray, seed: tuple[int, int] = (50, 50)) -> np.ndarray:
     """Background not reached from one seed joins the mask; a seed outside, or on the mask,
     reaches nothing, so everything does."""
-    at = np.zeros(m.shape, bool)
-    if seed[0] < m.shape[0] and seed[1] < m.shape[1]:
-        at[seed] = True
-    return np.where(spread(at, m == 0)[0], 0, 255)
+    if seed[0] >= m.shape[0] or seed[1] >= m.shape[1] or m[seed] != 0:
+        return np.full(m.shape, 255)
+    own = labels(m == 0, eight=False)
+    return np.where(own == own[seed], 0, 255)
 
 
 def largest_filled(m: np.ndarray, seed: tuple[int, int] = (50, 50)) -> np.ndarray:
