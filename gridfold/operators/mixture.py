@@ -36,8 +36,9 @@ class State:
         self.frames = np.zeros(p, np.int64)
 
     def rate(self, update: float) -> np.ndarray:
-        ramp = (1.0 / np.minimum(2 * self.frames, self.params.history)).astype(f32)
-        return ramp if update < 0 else np.where(self.frames > 1, f32(update), ramp)
+        if update >= 0:  # never on the first frame
+            return np.where(self.frames > 1, f32(update), f32(1 / min(2, self.params.history)))
+        return (1.0 / np.minimum(2 * self.frames, self.params.history)).astype(f32)
 
     def _up(self, at: np.ndarray, i: int) -> None:
         """Exchange modes i and i - 1 of some pixels."""
@@ -46,74 +47,91 @@ class State:
             x[i - 1][..., at] = x[i][..., at]
             x[i][..., at] = held
 
+    def _using(self, ids: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+        """Those of some pixels that have a mode k."""
+        return ids[n[ids] > k]
+
     def step(self, x: np.ndarray, update: float = -1.0, on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(mask, background probability) after one frame x (C, P) of the pixels `on` (all)."""
-        p, on = self.params, np.ones(self.pixels, bool) if on is None else on
-        self.frames[on] += 1
-        base = self.rate(update)
+        """(mask, background probability) after one frame x (C, P) of the pixels `on` (all).
+
+        Each mode is worked on for the pixels that have it, and compared for those without a match.
+        """
+        p = self.params
+        ids = np.arange(self.pixels) if on is None else np.flatnonzero(on)
+        self.frames[ids] += 1
+        with np.errstate(divide="ignore"):
+            base = self.rate(update)
         alpha = self.alpha.copy() if p.adaptive else base
         one, prune = f32(1) - alpha, (-alpha * f32(p.complexity)).astype(f32)
         x = x.astype(f32)
         total, found = np.zeros(self.pixels, f32), np.zeros(self.pixels, f32)
         back, fit, n = np.zeros(self.pixels, bool), np.zeros(self.pixels, bool), self.n.copy()
         for k in range(p.modes):
-            live = on & (k < n)
-            if not live.any():
+            live = self._using(ids, n, k)
+            if not len(live):
                 break
-            old = self.w[k].copy()
-            w = one * old + prune
-            d = self.m[k] - x
+            at = slice(None) if len(live) == self.pixels else live
+            old, v, m = self.w[k, at], self.v[k, at], self.m[k][:, at]
+            w, free, rate = one[at] * old + prune[at], ~fit[at], alpha[at]
+            d = m - x[:, at]
             d2 = d[0] * d[0]
             for c in range(1, p.channels):
                 d2 = d2 + d[c] * d[c]
-            near = live & ~fit & (d2 < f32(p.background_threshold) * self.v[k])
-            found = np.where(near, found + old, found)
-            back |= near & (total < f32(p.background_ratio))
-            close = live & ~fit & (d2 < f32(p.generation_threshold) * self.v[k])
-            w = np.where(close, w + alpha, w)
+            near = free & (d2 < f32(p.background_threshold) * v)
+            found[at] = np.where(near, found[at] + old, found[at])
+            back[at] |= near & (total[at] < f32(p.background_ratio))
+            close = free & (d2 < f32(p.generation_threshold) * v)
+            w = np.where(close, w + rate, w)
             with np.errstate(divide="ignore", invalid="ignore"):
-                rate = np.where(close, alpha / w, f32(0)).astype(f32)
-            for c in range(p.channels):
-                self.m[k, c] = np.where(close, self.m[k, c] - rate * d[c], self.m[k, c])
-            v = self.v[k] + rate * (d2 - self.v[k])
-            self.v[k] = np.where(close, np.minimum(np.maximum(v, f32(p.var_min)), f32(p.var_max)), self.v[k])
-            place, moving = np.full(self.pixels, k), close.copy()
-            for i in range(k, 0, -1):
-                moving &= ~(w < self.w[i - 1])
-                if not moving.any():
-                    break
-                self._up(moving, i)
-                place[moving] = i - 1
-            fit |= close
-            gone = live & (w < -prune)
-            w = np.where(gone, f32(0), w)
-            n[gone] -= 1
-            at = np.flatnonzero(live)
-            self.w[place[at], at] = w[at]
-            total = np.where(live, total + w, total)
+                rate = np.where(close, rate / w, f32(0))
+                self.m[k][:, at] = np.where(close, m - rate * d, m)
+            self.v[k, at] = np.where(close, np.clip(v + rate * (d2 - v), f32(p.var_min), f32(p.var_max)), v)
+            fit[at] |= close
+            if k:
+                place, own = np.full(len(live), k), np.flatnonzero(close)
+                hit = live[own]
+                for i in range(k, 0, -1):
+                    up = ~(w[own] < self.w[i - 1, hit])
+                    own, hit = own[up], hit[up]
+                    if not len(hit):
+                        break
+                    self._up(hit, i)
+                    place[own] = i - 1
+            gone = np.flatnonzero(w < -prune[at])
+            w[gone] = 0
+            n[live[gone]] -= 1
+            if k:
+                self.w[place, live] = w
+            else:
+                self.w[0, at] = w
+            total[at] += w
         with np.errstate(divide="ignore"):
             scale = np.where(np.abs(total) > EPSILON, f32(1) / total, f32(0)).astype(f32)
         for k in range(p.modes):
-            self.w[k] = np.where(on & (k < n), self.w[k] * scale, self.w[k])
-        new = on & ~fit & (alpha > 0)
-        slot = np.where(n == p.modes, p.modes - 1, n)
-        n = np.where(new & (n < p.modes), n + 1, n)
-        for k in range(p.modes):
-            self.w[k] = np.where(new & (n > 1) & (k < n - 1), self.w[k] * one, self.w[k])
-        at = np.flatnonzero(new)
-        self.w[slot[at], at] = np.where(n[at] == 1, f32(1), alpha[at])
-        self.v[slot[at], at] = f32(p.var_init)
-        self.m[slot[at], :, at] = x[:, at].T
-        moving = new.copy()
+            live = self._using(ids, n, k)
+            if not len(live):
+                break
+            at = slice(None) if len(live) == self.pixels else live
+            self.w[k, at] *= scale[at]
+        new = ids[~fit[ids] & (alpha[ids] > 0)]
+        slot = np.minimum(n[new], p.modes - 1)
+        n[new] = np.minimum(n[new] + 1, p.modes)
+        for k in range(p.modes - 1):
+            live = new[k < n[new] - 1]
+            self.w[k, live] *= one[live]
+        self.w[slot, new] = np.where(n[new] == 1, f32(1), alpha[new])
+        self.v[slot, new] = f32(p.var_init)
+        self.m[slot, :, new] = x[:, new].T
+        moving = new
         for i in range(p.modes - 1, 0, -1):
-            here = moving & (n - 1 >= i)
-            here &= ~(alpha < self.w[i - 1])
-            self._up(here, i)
-            moving &= here | (n - 1 < i)
-        self.n = np.where(on, n, self.n)
+            deep = n[moving] > i
+            here = deep & ~(alpha[moving] < self.w[i - 1, moving])
+            self._up(moving[here], i)
+            moving = moving[here | ~deep]
+        self.n = n
         if p.adaptive:
             changed = np.where(back, np.minimum(alpha * f32(1.02), base), np.maximum(alpha * f32(0.98), base / f32(8))).astype(f32)
-            self.alpha = np.where(on, changed, self.alpha)
+            self.alpha[ids] = changed[ids]
         mask = np.where(back, 0, 255)
         if p.detect_shadows:
             mask = np.where(~back & self.shadow(x), 127, mask)

@@ -9,22 +9,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions import pixels as P
-from gridfold.operators import evaluate, mixture, spatial
+from gridfold.operators import evaluate, mixture, planes, spatial
 from gridfold.params import Params
 from gridfold.plans import chains
+from gridfold.sources import carriers
 
 KEY = ["stream_id", "frame_id", "y", "x"]
 
 
-def model(frames: DataFrame, params: Params = Params(), update: float = -1.0, colour: str = "ycrcb") -> DataFrame:
-    """The fold of blue-green-red frames (KEY, c0, c1, c2) in a colour space, `ycrcb` or `bgr`."""
-    if colour not in ("ycrcb", "bgr"):
-        raise ValueError(f"no colour space {colour}")
+def _by_cells(frames: DataFrame, params: Params, update: float, colour: str) -> DataFrame:
     if colour == "ycrcb":
         frames = frames.select(*KEY, *(c.alias(f"c{i}") for i, c in enumerate(P.ycrcb(F.col("c0"), F.col("c1"), F.col("c2")))))
     return mixture.fold(frames, params, update)
 
 
+def _by_frames(frames: DataFrame, params: Params, update: float, colour: str) -> DataFrame:
+    return planes.cells_of_folded(planes.fold(carriers.frames_of(frames), params, update, colour))
+
+
+#: The ways to fold, with equal results: a row for each cell, or frames as binary rows (complete
+#: grids of bytes, no modes passed between neighbours).
+WAYS = {"cells": _by_cells, "frames": _by_frames}
+
+
+def model(frames: DataFrame, params: Params = Params(), update: float = -1.0, colour: str = "ycrcb", way: str = "cells") -> DataFrame:
+    """The fold of blue-green-red frames (KEY, c0, c1, c2) in a colour space, `ycrcb` or `bgr`, in
+    one of WAYS."""
+    if colour not in ("ycrcb", "bgr"):
+        raise ValueError(f"no colour space {colour}")
+    if way not in WAYS:
+        raise ValueError(f"no way {way}; there are {sorted(WAYS)}")
+    return WAYS[way](frames, params, update, colour)
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """`df` with the stream and the number of a frame as its one key, for the mask operators."""
     return df.withColumn("frame", F.struct("stream_id", "frame_id")).drop("stream_id", "frame_id")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions import pixels as P
-from gridfold.operators import evaluate, mixture, records, shapes, spatial
+from gridfold.operators import evaluate, mixture, planes, records, shapes, spatial
 from gridfold.params import BLUR_TAPS, Params
 from gridfold.plans import chains, oracles, pipeline
-from gridfold.sources.carriers import SIDE, event_pixels, table, vector_frames, vector_grid
+from gridfold.sources.carriers import SIDE, event_pixels, frames_of, table, vector_frames, vector_grid
 
 LOW = 0.2
 
@@ -187,6 +187,16 @@ def pipeline_frames(s, d):
     return pipeline.blur_background(vector_frames(s, d), update=LOW)
 
 
+def pipeline_planes(s, d):
+    """As `pipeline_frames`, on frames as binary rows."""
+    return planes.cells_of_finished(planes.blur_background(frames_of(vector_frames(s, d)), update=LOW))
+
+
+def model_planes(s, d):
+    """The model over luma and chroma, on frames as binary rows."""
+    return pipeline.model(vector_frames(s, d), update=LOW, way="frames")
+
+
 def score_chains(s, d):
     """Scores of the chains that need no edges, from frame 10 on, apart from the first cell."""
     frames = vector_frames(s, d)
@@ -223,7 +233,7 @@ def bus_load(s, d):
 
 
 def queries():
-    own = [pipeline_frames, score_chains, inverse_color, median_rounds, stage_shares, profile_shares, bus_load, color_ycrcb, alpha_ramp, mixture_fold, mixture_shadow, mixture_adaptive, mixture_propagate, state_snapshot, divergence_seeds, background_image, foreground_counts, threshold_confidence, binarize, sobel_edges, gates, blur_q8, composite, hole_count, confusion, metrics, chain_leaderboard, mask_diff, cumulative_diff, agreement, error_classes, prune_events, first_divergence, parity_verdict]
+    own = [pipeline_frames, pipeline_planes, model_planes, score_chains, inverse_color, median_rounds, stage_shares, profile_shares, bus_load, color_ycrcb, alpha_ramp, mixture_fold, mixture_shadow, mixture_adaptive, mixture_propagate, state_snapshot, divergence_seeds, background_image, foreground_counts, threshold_confidence, binarize, sobel_edges, gates, blur_q8, composite, hole_count, confusion, metrics, chain_leaderboard, mask_diff, cumulative_diff, agreement, error_classes, prune_events, first_divergence, parity_verdict]
     masks = {
         "median5": lambda g: spatial.median(g, "m", 5),
         "median3": lambda g: spatial.median(g, "m", 3),
@@ -442,6 +452,8 @@ def oracle_sql():
         "prune_events": _fold("f") + " SELECT stream_id, y, x, CAST(sum(greatest(before - n, 0)) AS BIGINT) AS pruned FROM (SELECT *, lag(n, 1, n) OVER (PARTITION BY stream_id, y, x ORDER BY frame_id) AS before FROM f) GROUP BY ALL",
         "first_divergence": f"{_fold('f')}, {oracles.fold_sql('h', oracles.EVENT_PIXELS, Params(modes=3), LOW)} SELECT stream_id, y, x, min(frame_id) AS first_frame FROM f JOIN h USING (stream_id, frame_id, y, x) WHERE abs(f.bg_prob - h.bg_prob) > 1e-4 GROUP BY ALL",
         "pipeline_frames": _PIPELINE,
+        "pipeline_planes": _PIPELINE,
+        "model_planes": _FRAMES + _FOLDED,
         "score_chains": _SCORES,
         "seeded_fill": _fill_sql(start="y = 0 AND x = 0"),
         "refine_chain": _fill_sql("o", before=f", b AS ({m.format('CASE WHEN prob < CAST(0.5 AS FLOAT) THEN 255 ELSE 0 END')}), o AS ({_median_sql('b', 5)})"),

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridfold.operators import kernels
+from gridfold.operators.planes import FRAMES
 
-FRAMES = "stream_id string, frame_id long, height int, width int, channels int, data binary"
 SIDE = 8
 
 
@@ -102,6 +102,21 @@ def resized(frames: DataFrame, height: int, width: int) -> DataFrame:
     return frames.mapInPandas(run, FRAMES)
 
 
+def frames_of(pixels: DataFrame) -> DataFrame:
+    """FRAMES of complete grids of cells (stream_id, frame_id, y, x, c0, c1, c2) of bytes: the
+    inverse of `pixels_of`. One shuffle by frame, which a task holds as a whole."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        h, w = int(df["y"].max()) + 1, int(df["x"].max()) + 1
+        if len(df) != h * w:
+            raise ValueError("a frame that isn't a complete grid")
+        planes = np.zeros((h, w, 3), np.uint8)
+        planes[df["y"], df["x"]] = df[["c0", "c1", "c2"]]
+        return df.iloc[:1][["stream_id", "frame_id"]].assign(height=h, width=w, channels=3, data=[planes.tobytes()])
+
+    return pixels.select("stream_id", "frame_id", "y", "x", "c0", "c1", "c2").groupBy("stream_id", "frame_id").applyInPandas(run, FRAMES)
+
+
 def pixels_of(frames: DataFrame) -> DataFrame:
     """(stream_id, frame_id, y, x, c0, c1, c2) of FRAMES; grey ones have their value thrice."""
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridfold.functions import pixels as P
-from gridfold.operators import evaluate, kernels, mixture, records, shapes, spatial
+from gridfold.operators import evaluate, kernels, mixture, planes, records, shapes, spatial
 from gridfold.params import BLUR_TAPS, Params
 from gridfold.plans import chains, pipeline
 from gridfold.sources import carriers
@@ -225,6 +225,59 @@ def test_traffic_through_the_pipeline(spark):
         pipeline.model(df, colour="hsv")
 
 
+def test_planes_equal_cells(spark):
+    df = carriers.traffic(spark, 25, 33, 41, cars=3)
+    frames = carriers.frames_of(df).cache()
+    assert sorted(carriers.pixels_of(frames).collect()) == sorted(df.collect())
+    for colour in ("ycrcb", "bgr"):
+        want = sorted(pipeline.model(df, update=0.05, colour=colour).collect())
+        assert sorted(pipeline.model(df, update=0.05, colour=colour, way="frames").collect()) == want
+    folded = planes.fold(frames, update=0.05, cells=100)
+    assert sorted(planes.cells_of_folded(folded, 100).collect()) == sorted(pipeline.model(df, update=0.05).collect())
+    got = planes.cells_of_finished(planes.blur_background(frames, update=0.05, close=3))
+    assert sorted(got.collect()) == sorted(pipeline.blur_background(df, update=0.05, close=3).collect())
+    one = lambda d, c: sorted(map(tuple, d.selectExpr("frame.frame_id", "y", "x", c).collect()))
+    blurred = pipeline.keyed(carriers.pixels_of(planes.blur(frames)))
+    assert one(blurred, "c1") == one(spatial.blur(pipeline.keyed(df), "c1"), "c1")
+
+
+def test_planes_of_odd_frames(spark):
+    pixels = np.random.default_rng(6).integers(0, 256, (3, 5, 7), np.uint8)
+    rows = [("grey", i, 5, 7, 1, p.tobytes(), "more") for i, p in enumerate(pixels, 1)]
+    rows += [(None, 1, 5, 7, 1, pixels[0].tobytes(), None), ("none", 1, 0, 0, 1, b"", None), ("none", 2, 0, 0, 1, None, None)]
+    frames = spark.createDataFrame(rows, f"{carriers.FRAMES}, strip string")
+    want = sorted(pipeline.model(carriers.pixels_of(frames.where("stream_id = 'grey'")), colour="bgr").collect())
+    got = planes.cells_of_folded(planes.fold(frames, colour="bgr"))
+    assert sorted(got.where("stream_id = 'grey'").collect()) == want and got.count() == 4 * 35
+    assert planes.blur_background(frames).count() == planes.blur(frames).count() == 4
+    assert planes.blur_background(frames.limit(0)).count() == planes.blur(frames.limit(0)).count() == 0
+    with pytest.raises(Exception, match="two sizes"):
+        planes.fold(spark.createDataFrame([*rows[:2], ("grey", 9, 7, 5, 1, rows[0][5], "")], f"{carriers.FRAMES}, strip string")).count()
+    for bad in ({"params": Params(propagate=True)}, {"colour": "hsv"}):
+        with pytest.raises(ValueError):
+            planes.fold(frames, **bad)
+    with pytest.raises(ValueError):
+        pipeline.model(frames, way="rows")
+
+
+def test_components_of_runs():
+    r = np.random.default_rng(12)
+    for _ in range(40):
+        on = r.random((r.integers(1, 12), r.integers(1, 12))) < r.random()
+        for eight in (False, True):
+            own, left, n = shapes.labels(on, eight), on.copy(), 0
+            while left.any():
+                n += 1
+                seed = np.zeros(on.shape, bool)
+                seed[np.unravel_index(left.ravel().argmax(), on.shape)] = True
+                reached = shapes.spread(seed, on, eight)[0]
+                assert (own[reached] == n).all()
+                left &= ~reached
+            assert own.max(initial=0) == n and (own[~on] == 0).all()
+    maze = np.indices((40, 41)).sum(0) % 4 != 0
+    assert (shapes.fill_holes(np.where(maze, 255, 0)) == shapes.fill_reconstruct(np.where(maze, 255, 0))[0]).all()
+
+
 def test_scores(spark):
     rows = [(255, 255), (255, 255), (255, 0), (255, 0), (255, 255), (255, 0)]
     c = evaluate.confusion(spark.createDataFrame([(1, *r) for r in rows], "g int, pred int, truth int"), ["g"])
