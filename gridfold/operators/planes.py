@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from gridfold.operators.mixture import RESULT, State
 from gridfold.params import Params
 
 FRAMES = "stream_id string, frame_id long, height int, width int, channels int, data binary"
+NAMES = [f.split()[0] for f in FRAMES.split(", ")]
 #: `mask`: bytes; `below`: 255 where the background's probability is under the confidence; `bg_prob`:
 #: single precision; `n`: modes in use, bytes.
 FOLDED = f"{FRAMES}, strip int, mask binary, below binary, bg_prob binary, n binary"
@@ -27,11 +29,20 @@ FINISHED = f"{FRAMES}, mask binary, refined binary"
 
 
 def strips(frames: DataFrame, cells: int = 4096) -> DataFrame:
-    """FRAMES and `strip`: each frame cut into runs of `cells` cells, in the JVM."""
-    size = f"(channels * {int(cells)})"
-    cut = F.expr(f"transform(sequence(0, cast((length(data) - 1) div {size} as int)), i -> substring(data, i * {size} + 1, {size}))")
-    shape = ["stream_id", "frame_id", "height", "width", "channels"]
-    return frames.where("length(data) > 0").select(*shape, F.posexplode(cut).alias("strip", "data"))
+    """FRAMES and `strip`: each frame cut into runs of `cells` cells, without a copy of its bytes
+    (an expression over a binary column would copy the frame for each run)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, c, data in zip(range(len(b)), b["channels"].to_pylist(), b["data"]):
+                raw = data.as_buffer()
+                edge = np.append(np.arange(0, raw.size, c * cells), raw.size).astype(np.int32)
+                n = len(edge) - 1
+                cut = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edge), raw])
+                shape = [b.column(j).take(pa.array(np.full(n, i))) for j in range(5)]
+                yield pa.RecordBatch.from_arrays([*shape, cut, pa.array(np.arange(n, dtype=np.int32))], names=[*NAMES, "strip"])
+
+    return frames.where("length(data) > 0").select(*NAMES).mapInArrow(run, f"{FRAMES}, strip int")
 
 
 def fold(frames: DataFrame, params: Params = Params(), update: float = -1.0, colour: str = "ycrcb", cells: int = 4096, prob: bool = True) -> DataFrame:
@@ -68,7 +79,7 @@ def fold(frames: DataFrame, params: Params = Params(), update: float = -1.0, col
     tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut.repartitionById(tasks, F.expr(f"cast(pmod(xxhash64(stream_id) + strip, {tasks}) as int)"))
     # the whole of a strip's frames follow one another; others of its task come before or after
-    return dealt.sortWithinPartitions("stream_id", "strip", "frame_id").select(*(f.split()[0] for f in FRAMES.split(", ")), "strip").mapInPandas(run, FOLDED)
+    return dealt.sortWithinPartitions("stream_id", "strip", "frame_id").mapInPandas(run, FOLDED)
 
 
 def finish(folded: DataFrame, close: int = 0) -> DataFrame:
@@ -105,7 +116,7 @@ def blur(frames: DataFrame) -> DataFrame:
             shaped = zip(b["height"], b["width"], b["channels"], b["data"])
             yield b.assign(data=[_blurred(np.frombuffer(d, np.uint8).reshape(h, w, c)).tobytes() for h, w, c, d in shaped])
 
-    return frames.where("length(data) > 0").select(*(f.split()[0] for f in FRAMES.split(", "))).mapInPandas(run, FRAMES)
+    return frames.where("length(data) > 0").select(*NAMES).mapInPandas(run, FRAMES)
 
 
 def cells_of_folded(folded: DataFrame, cells: int = 4096) -> DataFrame:
